@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import fingerprints, html_extract, mixing, packing, quality_classifier, quality_rules, token_counts
+from cadenza.llm import fingerprints, html_extract, mixing, ngram_join, packing, quality_classifier, quality_rules, token_counts
 from cadenza.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,6 +30,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = ngram_join.near_duplicates(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+    return linked.select("doc_id", "n_shingles", "component_id")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_best_fit_packing,
         op3_fingerprints,
         op5_token_counts,
+        op6_ngram_join,
         op7_quality_rules,
         op9_mixing_sources,
         op10_quality_classifier,
