@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import fingerprints, html_extract, mixing, ngram_join, packing, quality_classifier, quality_rules, token_counts
+from cadenza.llm import fingerprints, html_extract, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, token_counts
 from cadenza.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +26,12 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    removed = suffix_dedup.remove_repeats(docs).select("doc_id", "removal.*")
+    return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -54,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_html_extraction,
         op2_best_fit_packing,
         op3_fingerprints,
+        op4_suffix_dedup,
         op5_token_counts,
         op6_ngram_join,
         op7_quality_rules,
