@@ -63,8 +63,7 @@ class Shingler:
         try:
             h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         except KeyError:
-            for w in set(words) - known.keys():
-                known[w] = xxhash.xxh3_64_intdigest(w)
+            known.update((w, xxhash.xxh3_64_intdigest(w)) for w in set(words) if w not in known)
             h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n = len(h) - k + 1
         out = np.full(n, k, np.uint64)
