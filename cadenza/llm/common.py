@@ -28,6 +28,14 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE + "+"), "")
 
 
+def computed(df: DataFrame) -> DataFrame:
+    """The same rows, behind a step that filters aren't pushed through. Spark would compute what a filter
+    reads a second time below, and there put whole arrays in the place of columns that a function of their
+    elements refers to, which makes work for each element out of work for each row."""
+    row = F.explode_outer(F.array(F.struct(*df.columns))).alias("_row")
+    return df.select(row).select(*(F.col("_row")[c].alias(c) for c in df.columns))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset and the
     master is local (tests), a folder of this machine."""

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import SPACE_CHARS, text_of, words_of
+from cadenza.llm.common import SPACE_CHARS, computed, text_of, words_of
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -124,7 +124,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         ),
         lambda acc: acc["n"],
     )
-    return staged.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_at")
+    return computed(staged.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_at"))
 
 
 def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

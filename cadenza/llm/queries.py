@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import fingerprints, html_extract, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, token_counts
+from cadenza.llm import fingerprints, html_extract, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filters
 from cadenza.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -45,6 +45,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages carry no time: a page counts as fetched on day page_id mod 365 of 2024."""
+    pages = table(spark, sf_dir, "pages")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(365)).cast("int"))
+    out = url_filters.evaluate(pages.withColumn("fetched", day), url_filters.entries(spark))
+    return out.withColumns({c: F.col(c).cast("string") for c in ("fetched", "first_since")})
+
+
 def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), F.array("source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -64,11 +72,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_token_counts,
         op6_ngram_join,
         op7_quality_rules,
+        op8_url_filters,
         op9_mixing_sources,
         op10_quality_classifier,
     )
 }
 
+_LOG = ", ".join(f"('{n}', '{k}', '{e}', DATE '{d}', '{a}')" for n, k, e, d, a in url_filters.ENTRIES)
+
 SQL: dict[str, str] = {
     "op7_quality_rules": r"""
 WITH d AS (
@@ -102,4 +113,27 @@ b AS (
   FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits, n_lines FROM b""",
+    "op8_url_filters": rf"""
+WITH log(list, kind, key, day, action) AS (VALUES {_LOG}),
+c AS (
+  SELECT list, kind, key, day, action FROM log
+  QUALIFY coalesce(lag(action) OVER (PARTITION BY list, kind, key ORDER BY day) <> action, true)),
+v AS (
+  SELECT * FROM (
+    SELECT list, kind, key, action, day AS since, lead(day) OVER (PARTITION BY list, kind, key ORDER BY day) AS until FROM c)
+  WHERE action = 'add'),
+p AS (
+  SELECT row_number() OVER () AS rid, page_id, url, DATE '2024-01-01' + CAST(page_id % 365 AS INTEGER) AS fetched,
+         lower(regexp_extract(url, '//([^/?#:]*)', 1)) AS host,
+         regexp_replace(regexp_extract(url, '//[^/?#]*([^?#]*)', 1), '/+$', '') AS path
+  FROM pages),
+m AS (
+  SELECT rid, list, since FROM p JOIN v
+    ON since <= fetched AND (until IS NULL OR fetched < until)
+   AND (kind = 'host' AND host = key
+        OR kind = 'domain' AND (host = key OR ends_with(host, '.' || key))
+        OR kind = 'path' AND (host || path = key OR starts_with(host || path, key || '/'))))
+SELECT page_id, url, CAST(fetched AS VARCHAR) AS fetched, count(list) > 0 AS blocked, count(list) AS n_entries,
+       coalesce(string_agg(DISTINCT list, ',' ORDER BY list), '') AS lists, CAST(min(since) AS VARCHAR) AS first_since
+FROM p LEFT JOIN m USING (rid) GROUP BY rid, page_id, url, fetched""",
 }
