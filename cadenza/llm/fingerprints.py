@@ -28,10 +28,13 @@ from pyspark.sql.classic.column import Column as ClassicColumn
 
 from cadenza.llm.common import text_of, words_of
 
-SAMPLES = 64
+SAMPLES = 72
+#: Draws that are made in one pass over the words.
+LOT = 24
 #: Documents in a range, on average, until there are MAX_RANGES of them.
 RANGE_ROWS, MAX_RANGES = 1024, 4096
-_CELLS = 4096
+#: Cells of a quantile table, and tables for the lower tail of c; variates are interpolated within a cell.
+_CELLS, _LEVELS = 64, 4
 EMPTY = 0xFFFF
 
 
@@ -47,10 +50,17 @@ def gamma_quantiles(at: np.ndarray) -> np.ndarray:
     return (low + high) / 2
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r, ln c, and ln c within the first cell, by cell."""
-    mid = (np.arange(_CELLS) + 0.5) / _CELLS
-    return gamma_quantiles(mid), np.log(gamma_quantiles(mid)), np.log(gamma_quantiles(mid / _CELLS))
+def _cells(at: np.ndarray, of) -> np.ndarray:
+    """Values at the cells' lower ends, then the steps to their upper ends."""
+    low, high = of(gamma_quantiles(at[:-1])), of(gamma_quantiles(at[1:]))
+    return np.round(np.concatenate([low, high - low]), 6)
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """r by cell; ln c by cell, where each level divides the first cell of the one before."""
+    edge = np.clip(np.arange(_CELLS + 1) / _CELLS, 1e-5, 1 - 1e-5)
+    levels = [_cells(np.clip(np.arange(_CELLS + 1) / _CELLS, 1 / (4 * _CELLS), 1 - 1e-5) / float(_CELLS) ** k, np.log) for k in range(_LEVELS)]
+    return _cells(edge, lambda x: x), np.concatenate([*(x[:_CELLS] for x in levels), *(x[_CELLS:] for x in levels)])
 
 
 def _literal(spark: SparkSession, values: np.ndarray) -> Column:
@@ -62,18 +72,22 @@ def _literal(spark: SparkSession, values: np.ndarray) -> Column:
     return ClassicColumn(gateway.jvm.org.apache.spark.sql.functions.lit(array))
 
 
-def sample_exprs(spark: SparkSession, term: Column, log_weight: Column, samples: int = SAMPLES) -> list[Column]:
-    """ln a of a weighted word in each draw."""
-    r_table, c_table, tail_table = (_literal(spark, t) for t in _tables())
+def sample_exprs(spark: SparkSession, term: Column, log_weight: Column, samples: int) -> list[Column]:
+    """ln a of a weighted word in each of `samples` draws; null where the weight is."""
+    r_table, c_table = (_literal(spark, t) for t in _tables())
+    cells = _CELLS.bit_length() - 1
     out = []
     for k in range(samples):
-        x = F.xxhash64(term, F.lit(k))
-        cell = x.bitwiseAND(F.lit(_CELLS - 1)).cast("int")
-        c_cell = F.shiftrightunsigned(x, 12).bitwiseAND(F.lit(_CELLS - 1)).cast("int")
-        tail = F.shiftrightunsigned(x, 24).bitwiseAND(F.lit(_CELLS - 1)).cast("int")
-        beta = F.shiftrightunsigned(x, 36) / F.lit(float(1 << 28))
-        r = F.get(r_table, cell)
-        ln_c = F.when(c_cell == 0, F.get(tail_table, tail)).otherwise(F.get(c_table, c_cell))
+        x = F.xxhash64(term.bitwiseXOR(F.lit(k * 0x9E3779B97F4A7C15 % (1 << 63))))
+        bits = lambda at, n, x=x: F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << n) - 1))
+        level = [bits(cells * i, cells).cast("int") for i in range(_LEVELS)]
+        at = level[-1] + F.lit(_CELLS * (_LEVELS - 1))
+        for i in range(_LEVELS - 2, -1, -1):
+            at = F.when(level[i] > 0, level[i] + F.lit(_CELLS * i)).otherwise(at)
+        r_at = bits(24, cells).cast("int")
+        inside, beta = bits(30, 14) / F.lit(float(1 << 14)), bits(44, 20) / F.lit(float(1 << 20))
+        r = F.get(r_table, r_at) + inside * F.get(r_table, r_at + F.lit(_CELLS))
+        ln_c = F.get(c_table, at) + inside * F.get(c_table, at + F.lit(_CELLS * _LEVELS))
         out.append(ln_c - r * (F.floor(log_weight / r + beta) + F.lit(1.0) - beta))
     return out
 
@@ -142,18 +156,26 @@ def signatures(rows: DataFrame, keys: list[str], text: str, samples: int = SAMPL
     terms = (
         rows.select(*keys, weighted_words(F.col(text)).alias("_h"))
         .select(*keys, "_h", F.filter(F.sequence(F.lit(0), F.greatest(F.size(hashes), F.lit(1)) - 1), lambda i: (i == 0) | (F.get(hashes, i) != F.get(hashes, i - 1))).alias("_s"))
-        .select(*keys, F.explode(runs_of(hashes, starts)).alias("_r"))
+        # the outer form: for the inner one Spark would test the array first, and compute it a second time
+        .select(*keys, F.explode_outer(runs_of(hashes, starts)).alias("_r"))
         .select(*keys, F.col("_r")["term"].alias("term"), F.log(F.greatest(F.col("_r")["weight"], F.lit(1))).alias("log_weight"))
     )
-    draws = sample_exprs(rows.sparkSession, F.col("term"), F.col("log_weight"), samples)
-    least = terms.groupBy(*keys).agg(*(F.min(F.when(F.col("term").isNotNull(), d)).alias(f"_m{k}") for k, d in enumerate(draws)))
+    # draws are made in lots: so many minima in one aggregate run as compiled code, twice as many don't
+    lots = -(-samples // LOT)
+    size = -(-samples // lots)
+    terms = terms.select(*keys, "term", "log_weight", F.explode(F.array(*map(F.lit, range(lots)))).alias("_lot"))
+    terms = terms.select(*keys, F.xxhash64("term", "_lot").alias("term"), "log_weight", "_lot")
+    draws = sample_exprs(rows.sparkSession, F.col("term"), F.col("log_weight"), size)
+    least = terms.groupBy(*keys, "_lot").agg(*(F.min(d).alias(f"_m{k}") for k, d in enumerate(draws)))
     names = F.array(
         *(
             F.when(F.col(f"_m{k}").isNull(), F.lit(EMPTY)).otherwise(F.pmod(F.xxhash64(f"_m{k}"), F.lit(EMPTY))).cast("int")
-            for k in range(samples)
+            for k in range(size)
         )
     )
-    return least.select(*keys, names.alias("drawn"))
+    by_lot = least.select(*keys, F.struct("_lot", names.alias("names")).alias("_d"))
+    drawn = F.flatten(F.transform(F.sort_array(F.collect_list("_d")), lambda d: d["names"]))
+    return by_lot.groupBy(*keys).agg(drawn.alias("drawn"))
 
 
 def likeness(a: Column, b: Column) -> Column:
