@@ -1,3 +1,308 @@
 """The queries over the fixture views, by name."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cadenza.operators import candidates as cand
+from cadenza.operators import catalog, cf, coverage, diversity, metrics, scoring, split
+from cadenza.plans import views
+
+#: Weightings of the ablation, in the order that ties are broken in.
+VARIANTS = {
+    "CF": {"cf": 0.35},
+    "metadata": {"artist": 0.10, "pop": 0.10},
+    "CF + metadata": {"cf": 0.35, "artist": 0.10, "pop": 0.10},
+}
+SEED = 172
+
+
+class Model:
+    """The stages of the recommender over one set of tables, each defined once and planned lazily."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def songs(self) -> DataFrame:
+        return catalog.first_wins(views.catalog_rows(self.spark, self.sf_dir))
+
+    @cached_property
+    def tracks(self) -> DataFrame:
+        return views.tracks(self.spark, self.sf_dir)
+
+    @cached_property
+    def marked(self) -> DataFrame:
+        return coverage.marked_tracks(self.tracks, self.songs)
+
+    @cached_property
+    def split(self) -> DataFrame:
+        return split.holdout(self.marked.where("matched"))
+
+    @cached_property
+    def eval_songs(self) -> DataFrame:
+        """The catalog, pruned to what the cases hold."""
+        return self.songs.join(self.split.select("song_id").distinct(), "song_id", "left_semi")
+
+    @cached_property
+    def pop(self) -> DataFrame:
+        return cf.popularity(self.split)
+
+    @cached_property
+    def top(self) -> DataFrame:
+        return cf.popular(self.pop)
+
+    @cached_property
+    def near(self) -> DataFrame:
+        return cf.neighbors(self.split)
+
+    @cached_property
+    def cf(self) -> DataFrame:
+        return cf.cf_scores(self.split, self.near)
+
+    @cached_property
+    def unseen(self) -> DataFrame:
+        return cand.popular_unseen(self.split, self.top)
+
+    @cached_property
+    def base(self) -> DataFrame:
+        return cand.cf_pop_pool(self.cf, self.pop, self.unseen)
+
+    @cached_property
+    def artist(self) -> DataFrame:
+        return cand.artist_candidates(self.split, self.eval_songs, self.pop)
+
+    @cached_property
+    def pool(self) -> DataFrame:
+        return cand.forced_pool(self.artist, self.base)
+
+    @cached_property
+    def prepared(self) -> DataFrame:
+        return scoring.prepare(self.split, self.eval_songs, self.pool, self.cf, self.pop)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[Model], DataFrame]) -> Callable[[Model], DataFrame]:
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(Model(spark, sf_dir))
+    return f
+
+
+@query
+def normalize_keys(m: Model) -> DataFrame:
+    return views.parts(m.spark, m.sf_dir).select("p_partkey", "song_id")
+
+
+@query
+def lyrics_scan_stats(m: Model) -> DataFrame:
+    return catalog.scan_stats(views.catalog_rows(m.spark, m.sf_dir))
+
+
+@query
+def catalog_first_wins(m: Model) -> DataFrame:
+    return m.songs.select("song_id", "title", "artist", F.md5("lyrics").alias("lyrics_md5"))
+
+
+@query
+def catalog_duplicate_keys(m: Model) -> DataFrame:
+    return catalog.duplicate_keys(views.catalog_rows(m.spark, m.sf_dir))
+
+
+@query
+def coverage_per_playlist(m: Model) -> DataFrame:
+    return coverage.per_playlist(m.marked)
+
+
+@query
+def coverage_summary(m: Model) -> DataFrame:
+    return coverage.summary(m.marked)
+
+
+@query
+def coverage_thresholds(m: Model) -> DataFrame:
+    return coverage.thresholds(m.marked)
+
+
+@query
+def length_histogram(m: Model) -> DataFrame:
+    return coverage.histogram(coverage.per_playlist(m.marked), "original_track_count")
+
+
+@query
+def matched_histogram(m: Model) -> DataFrame:
+    return coverage.histogram(coverage.per_playlist(m.marked), "matched_song_count")
+
+
+@query
+def filter_50_50(m: Model) -> DataFrame:
+    return coverage.filtered_rows(m.marked, "50_50")
+
+
+@query
+def filter_50_songs(m: Model) -> DataFrame:
+    return coverage.filtered_rows(m.marked, "50_songs")
+
+
+@query
+def filter_50_percent(m: Model) -> DataFrame:
+    return coverage.filtered_rows(m.marked, "50_percent")
+
+
+@query
+def filter_run_totals(m: Model) -> DataFrame:
+    return coverage.filter_totals(m.marked)
+
+
+@query
+def artist_diversity_summary(m: Model) -> DataFrame:
+    return diversity.playlist_stats(m.tracks)
+
+
+@query
+def artist_diversity_by_type(m: Model) -> DataFrame:
+    return diversity.playlist_stats(m.tracks, artist="p_type")
+
+
+@query
+def artist_diverse_rows(m: Model) -> DataFrame:
+    stats = diversity.playlist_stats(m.tracks)
+    return diversity.diverse_rows(m.tracks, stats).select("playlist_id", "pos", "song_id", "top_artist", "top_artist_share", "unique_artist_count", "deduped_track_count")
+
+
+@query
+def case_artist_split(m: Model) -> DataFrame:
+    return diversity.split_cases(m.split, m.songs)
+
+
+@query
+def holdout_split(m: Model) -> DataFrame:
+    return m.split
+
+
+@query
+def events_session_split(m: Model) -> DataFrame:
+    """Another ordered collection: what each user's events look like, in the order of time."""
+    from pyspark.sql import Window
+
+    events = views.table(m.spark, m.sf_dir, "events")
+    pos = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    item = F.concat_ws(":", "event_type", F.get_json_object("props", "$.k"))
+    return split.holdout(events.select(F.col("user_id").alias("playlist_id"), pos.alias("pos"), item.alias("song_id")), holdout_k=5, least=5, cap=None).drop("case_idx")
+
+
+@query
+def eval_ids(m: Model) -> DataFrame:
+    return split.eval_ids(m.split)
+
+
+@query
+def popularity_counts(m: Model) -> DataFrame:
+    return m.pop.select("song_id", "pop")
+
+
+@query
+def popularity_order(m: Model) -> DataFrame:
+    return m.top
+
+
+@query
+def cooccurrence_counts(m: Model) -> DataFrame:
+    return cf.cooccurrence(m.split)
+
+
+@query
+def cf_neighbors(m: Model) -> DataFrame:
+    return m.near.select("src", "dst", F.round("weight", 6).alias("weight"), "nb_rank")
+
+
+@query
+def cf_scores_topk(m: Model) -> DataFrame:
+    return m.cf.select("case_idx", "song_id", F.round("cf", 6).alias("cf"), "touch_rank")
+
+
+@query
+def cf_pop_pool(m: Model) -> DataFrame:
+    return m.base
+
+
+@query
+def same_artist_quota(m: Model) -> DataFrame:
+    rows = m.artist.where(F.col("rank") <= cand.quota(500, 0.25))
+    return rows.select("case_idx", "song_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def forced_merge_pool(m: Model) -> DataFrame:
+    return m.pool
+
+
+@query
+def stage1_recall_grid(m: Model) -> DataFrame:
+    return cand.recall_grid(m.split, m.cf, m.artist, m.pop, m.unseen)
+
+
+@query
+def normalized_scores(m: Model) -> DataFrame:
+    return m.prepared.select("case_idx", "song_id", *(F.round(c, 6).alias(c) for c in ("cf_norm", "artist_norm", "pop_norm")))
+
+
+@query
+def artist_metadata_score(m: Model) -> DataFrame:
+    return m.prepared.select("case_idx", "song_id", F.col("artist").cast("long").alias("artist_score"))
+
+
+def _ranked(m: Model, variant: str) -> DataFrame:
+    ranked = scoring.rank_variants(m.prepared, {variant: VARIANTS[variant]})
+    return metrics.with_hits(ranked, m.split).select("case_idx", "song_id", F.round("score", 6).alias("score"), "rank", "hit")
+
+
+@query
+def rank_cf_only(m: Model) -> DataFrame:
+    return _ranked(m, "CF")
+
+
+@query
+def rank_metadata_only(m: Model) -> DataFrame:
+    return _ranked(m, "metadata")
+
+
+@query
+def rank_fused_top10(m: Model) -> DataFrame:
+    ids = m.split.select("case_idx", "playlist_id").distinct()
+    return _ranked(m, "CF + metadata").join(ids, "case_idx")
+
+
+@query
+def metrics_by_variant(m: Model) -> DataFrame:
+    return metrics.evaluate(scoring.rank_variants(m.prepared, VARIANTS), m.split)
+
+
+@query
+def best_variant(m: Model) -> DataFrame:
+    rows = metrics.evaluate(scoring.rank_variants(m.prepared, VARIANTS), m.split)
+    return metrics.best(rows, {v: i for i, v in enumerate(VARIANTS)})
+
+
+@query
+def random_baseline(m: Model) -> DataFrame:
+    """Candidates in a seeded order of their own for each case."""
+    from pyspark.sql import Window
+
+    order = cand.md5_order(SEED, F.col("case_idx"), F.col("song_id"))
+    rows = m.pool.withColumn("rank", F.row_number().over(Window.partitionBy("case_idx").orderBy(order)))
+    return metrics.evaluate(rows.withColumn("variant", F.lit("Random")), m.split)
+
+
+@query
+def popularity_baseline(m: Model) -> DataFrame:
+    return metrics.evaluate(m.unseen.withColumn("variant", F.lit("Popularity")), m.split)
+
+
+@query
+def cold_start_cases(m: Model) -> DataFrame:
+    return scoring.cold_start(m.split, m.cf)
