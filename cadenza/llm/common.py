@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +39,19 @@ def computed(df: DataFrame) -> DataFrame:
     return df.select(row).select(*(F.col("_row")[c].alias(c) for c in df.columns))
 
 
+#: Texts that go to a Python worker at a time.
+BATCH_ROWS = 512
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """The same rows. Rows that hold whole texts go to Python in smaller batches than Spark's default of
+    10,000, of which executor and worker would keep several at a time."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset and the
     master is local (tests), a folder of this machine."""
@@ -49,6 +65,29 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Where new scratch folders are noted, while something collects them.
+_collecting: ContextVar[list[str] | None] = ContextVar("collecting", default=None)
+
+
+@contextmanager
+def collected_scratch() -> Iterator[list[str]]:
+    """The scratch folders that are begun inside. Whoever collects them may delete them with
+    `delete_folders` once the results that read them are written."""
+    folders: list[str] = []
+    token = _collecting.set(folders)
+    try:
+        yield folders
+    finally:
+        _collecting.reset(token)
+
+
+def delete_folders(spark: SparkSession, folders: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Tables in the shared folder: each write cuts lineage and survives lost executors."""
 
@@ -56,6 +95,8 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        if (folders := _collecting.get()) is not None:
+            folders.append(self.root)
 
     def write(self, df: DataFrame) -> DataFrame:
         """Write `df` and return the table that was written."""
@@ -64,10 +105,10 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        # Spark deletes the shuffle files of what was written when the driver collects its garbage
+        self.spark.sparkContext._jvm.System.gc()
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete_folders(self.spark, [df._scratch_path])

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.llm.common import text_batches
+
 #: Elements whose content is never text.
 RAW = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea xmp noembed noframes".split())
 #: Elements beside the article.
@@ -302,4 +304,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             )
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return text_batches(rows).mapInArrow(run, "page_id long, url string, text string, n_chars long")

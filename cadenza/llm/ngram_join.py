@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import Scratch, text_of
+from cadenza.llm.common import Scratch, text_batches, text_of
 from cadenza.llm.components import components
 
 #: Shingles whose hash is below this lead the order, by frequency.
@@ -41,7 +41,7 @@ BLOCK = 4096
 #: Shingles that a block's task holds, on average.
 BUCKET = 1 << 20
 #: Words whose hashes a Python worker remembers.
-CACHE = 1_000_000
+CACHE = 250_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
 
@@ -101,7 +101,7 @@ def _sets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
             )
             uid += n
 
-    return docs.mapInArrow(run, "uid long, doc_id long, textid long, n long, lead long, digest binary, shingles binary")
+    return text_batches(docs).mapInArrow(run, "uid long, doc_id long, textid long, n long, lead long, digest binary, shingles binary")
 
 
 def _blocks(bits: int):

@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cadenza.llm.common import Scratch, text_of
+from cadenza.llm.common import Scratch, text_batches, text_of
 from cadenza.llm.token_counts import byte_letters
 
 CAPACITY = 2048
@@ -40,7 +39,7 @@ FANOUT = 16
 #: A bin with no more room than this part of the capacity is nearly full.
 SLACK = 64
 #: Pieces that one leaf packs at a time: more would only cost memory.
-LEAF = 200_000
+LEAF = 100_000
 #: Rounds that the hosts sent up are enough for: FANOUT ** ROUNDS leaves.
 ROUNDS = 8
 
@@ -153,28 +152,27 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
             yield leaf()
 
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return text.mapInArrow(run, schema)
+    return text_batches(text).mapInArrow(run, schema)
 
 
 def _node(capacity: int):
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    def merge(node: pa.Table) -> pa.Table:
         """One node of the tree: the current bins are the items."""
-        items = pdf[["now", "fill"]].drop_duplicates("now").sort_values(["now"])
-        lengths = items.fill.tolist()
-        bins, offsets, fills = best_fit(lengths, capacity)
+        now = node["now"].to_pylist()
+        items = sorted(dict(zip(now, node["fill"].to_pylist(), strict=True)).items())
+        bins, offsets, fills = best_fit([n for _, n in items], capacity)
         up = going_up(fills, capacity)
-        names = items.now.tolist()
-        head = {b: names[i] for i, b in enumerate(bins) if offsets[i] == 0}
-        to = {n: (head[b], o, fills[b], b in up) for n, b, o in zip(names, bins, offsets, strict=True)}
-        moved = [to[n] for n in pdf.now]
-        return pd.DataFrame(
+        head = {b: name for (name, _), b, o in zip(items, bins, offsets, strict=True) if o == 0}
+        to = {name: (head[b], o, fills[b], b in up) for (name, _), b, o in zip(items, bins, offsets, strict=True)}
+        moved = [to[n] for n in now]
+        return pa.table(
             {
-                "bin": pdf.bin,
-                "now": [m[0] for m in moved],
-                "shift": pdf["shift"] + [m[1] for m in moved],
-                "fill": [m[2] for m in moved],
-                "node": pdf.node // FANOUT,
-                "up": [m[3] for m in moved],
+                "bin": node["bin"],
+                "now": pa.array([m[0] for m in moved], pa.int64()),
+                "shift": pa.array([s + m[1] for s, m in zip(node["shift"].to_pylist(), moved, strict=True)], pa.int64()),
+                "fill": pa.array([m[2] for m in moved], pa.int64()),
+                "node": pa.array([n // FANOUT for n in node["node"].to_pylist()], pa.int64()),
+                "up": pa.array([m[3] for m in moved], pa.bool_()),
             }
         )
 
@@ -189,7 +187,7 @@ def tree_merge(leaves: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     top = state.agg(F.max("node")).first()[0]
     done = spark.createDataFrame([], schema)
     while top is not None:
-        merged = state.groupBy((F.col("node") / FANOUT).cast("long").alias("group")).applyInPandas(_node(capacity), schema)
+        merged = state.groupBy((F.col("node") / FANOUT).cast("long").alias("group")).applyInArrow(_node(capacity), schema)
         done = done.unionByName(merged.where("not up"))
         state = merged.where("up")
         top = top // FANOUT if top >= FANOUT else None

@@ -27,14 +27,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import Scratch, text_of
+from cadenza.llm.common import Scratch, text_batches, text_of
 
 LENGTH = 200
 GRAM = 50
@@ -298,7 +297,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
         raise ValueError("windows take more than a gram, and at most 900 bytes more")
     scratch = Scratch(spark, "suffix-dedup")
     schema = "anchor long, content long, uid long, place long, doc_id long, textid long"
-    anchors = scratch.write(docs.select("doc_id", "textid", "text").mapInArrow(_anchors(length, gram), schema))
+    anchors = scratch.write(text_batches(docs).select("doc_id", "textid", "text").mapInArrow(_anchors(length, gram), schema))
     names = scratch.write(anchors.where("textid is not null").select("uid", "doc_id", "textid"))
     again = (
         anchors.groupBy("anchor")
@@ -352,24 +351,28 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
     return per_doc.join(names, "uid").groupBy("doc_id", "textid").agg(F.min_by("spans", "uid").alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", out: str = "removal") -> DataFrame:
-    """`docs` with a struct `out`: kept (bytes), n_bytes, n_removed, n_spans, kept_sha256."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", out: str = "removal", decode: bool = False) -> DataFrame:
+    """`docs` with a struct `out`: kept (bytes), n_bytes, n_removed, n_spans, kept_sha256; with `decode` also
+    kept_text, the kept bytes without what is left of characters that were cut in two."""
     text = text_of(text_col)
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("textid"), text.alias("text"))
     spans = repeated_spans(docs.sparkSession, keyed, length, gram)
+    kind = "struct<kept: binary, n_bytes: long, n_removed: long, n_spans: long, kept_sha256: string, kept_text: string>"
+    fields = [("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())]
 
-    @F.pandas_udf("kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    def remove(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        rows = []
+    @F.arrow_udf(kind)
+    def remove(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        columns: list[list] = [[] for _ in fields]
         for t, own in zip(texts, spans, strict=True):
-            raw, kept, at, n = t.encode(), [], 0, 0
-            for s in own if own is not None else ():
-                kept.append(raw[at : s["start"]])
+            raw, parts, at, own = t.as_py().encode(), [], 0, own.as_py() or ()
+            for s in own:
+                parts.append(raw[at : s["start"]])
                 at = s["end"]
-                n += 1
-            kept = b"".join([*kept, raw[at:]])
-            rows.append((kept, len(raw), len(raw) - len(kept), n, hashlib.sha256(kept).hexdigest()))
-        return pd.DataFrame(rows, columns=["kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            kept = b"".join([*parts, raw[at:]])
+            row = (kept, len(raw), len(raw) - len(kept), len(own), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if decode else None)
+            for column, v in zip(columns, row, strict=True):
+                column.append(v)
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
     ours = spans.select(F.col("doc_id").alias("__doc"), F.col("textid").alias("__textid"), F.col("spans").alias("__spans"))
     joined = docs.join(ours, F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(text) == F.col("__textid")), "left")

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import text_of
+from cadenza.llm.common import text_batches, text_of
 
 #: White space as Unicode has it (regex's own \s takes in some control characters).
 _WS = r"\t-\r \x85\xa0  -     　"
@@ -181,4 +181,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return text_batches(rows).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -6,16 +6,38 @@ is written as Parquet and read again as the next one's docs. All but the last re
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import mixing, ngram_join, packing, quality_rules, suffix_dedup
-from cadenza.llm.common import Scratch, table, text_of
+from cadenza.llm.common import Scratch, collected_scratch, delete_folders, table, text_of
 from cadenza.llm.queries import TOKENIZER
 
 _KEY = "__textid"
+#: Scratch folders of the stage before, by application: its result is written when the next one begins.
+_before: dict[str, list[str]] = {}
+
+
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first deletes what its predecessor left in the shared folder, whose result has been
+    written and read again."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        delete_folders(spark, _before.pop(app, []))
+        with collected_scratch() as folders:
+            out = f(spark, docs, sf_dir)
+        _before[app] = folders
+        return out
 
+    return run_stage
 
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a quality rule go."""
     # the verdict depends on the text alone and is made in place: nothing is joined or shuffled
@@ -24,6 +46,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*(F.col("doc_id")[c].alias(c) for c in docs.columns))
 
 
+@_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that five-word shingles link at 0.8 stays, that with the least doc_id."""
     linked = ngram_join.near_duplicates(docs, words=5, num=80, den=100)
@@ -36,22 +59,19 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.where("empty").unionByName(one).select(*docs.columns)
 
 
+@_stage
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 200 bytes and more that stand in several places go; what is left of a text stays, and
     the bytes of a character that was cut in two go too. Documents with nothing left go."""
-    cut = suffix_dedup.remove_repeats(docs, out="__removal")
+    cut = suffix_dedup.remove_repeats(docs, out="__removal", decode=True)
     touched = F.col("__removal")["n_removed"] > 0
-
-    @F.pandas_udf("string")
-    def decoded(kept):
-        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-    text = F.when(touched, decoded(F.col("__removal")["kept"])).otherwise(F.col("text"))
+    text = F.when(touched, F.col("__removal")["kept_text"]).otherwise(F.col("text"))
     out = cut.withColumn("__text", text).where(~touched | (F.length(F.btrim("__text")) > 0))
     changed = {"text": F.col("__text"), "n_chars": F.when(touched, F.length("__text").cast("long")).otherwise(F.col("n_chars"))}
     return out.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
 
 
+@_stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: a document stays as often as the mix takes it."""
     mixed = mixing.mix(docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "text", "source"), F.array("source"), carry=("__row",))
@@ -59,6 +79,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return taken.select(*(F.col("__row")[c].alias(c) for c in docs.columns))
 
 
+@_stage
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens."""
     return packing.pack(spark, docs, TOKENIZER)
@@ -79,7 +100,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each result is a table in the shared folder before the next reads it."""
     docs = table(spark, sf_dir, "documents")
-    scratch = Scratch(spark, "pipeline")
+    scratch, last = Scratch(spark, "pipeline"), None
     for _, stage in STAGES[:-1]:
         docs = scratch.write(stage(spark, docs, sf_dir))
+        if last is not None:
+            scratch.drop(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
