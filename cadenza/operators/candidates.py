@@ -83,25 +83,32 @@ def recall_of(pools: DataFrame, split: DataFrame, keys: tuple[str, ...]) -> Data
     return total.join(F.broadcast(cases)).select(*keys, F.round(F.col("s") / F.col("n_cases"), 6).alias("recall"))
 
 
-def recall_grid(split: DataFrame, cf: DataFrame, artist: DataFrame, pop: DataFrame, unseen: DataFrame) -> DataFrame:
-    """Recall by method and pool size. One rank of each kind and item serves all sizes and ratios: a pool is
-    a condition on ranks."""
-    base = cf_pop_pool(cf, pop, unseen, max(POOLS))
-    cf_ranked = ordered(cf, pop, "cf")
+def recall_grid(split: DataFrame, cf: DataFrame, artist: DataFrame, base: DataFrame, pop: DataFrame, unseen: DataFrame) -> DataFrame:
+    """Recall by method and pool size. Pools aren't made: an item's place in each of them follows from its
+    rank in the two lists, and only the held-out items' places are needed.
+
+    The quota's items come first; an item of the base list with place b is then the (b - f)th of the others,
+    where f counts the quota's items before it."""
+    combos = [(r, p, quota(p, r)) for r in RATIOS for p in POOLS]
+    quotas = sorted({q for _, _, q in combos})
+    both = artist.select("case_idx", "song_id", F.col("rank").alias("a"), F.lit(None).cast("int").alias("b")).unionByName(
+        base.select("case_idx", "song_id", F.lit(None).cast("int").alias("a"), F.col("place").alias("b"))
+    )
+    items = both.groupBy("case_idx", "song_id").agg(F.min("a").alias("a"), F.min("b").alias("b"))
+    before = Window.partitionBy("case_idx").orderBy(F.col("b").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = F.array(*(F.struct(F.lit(q).alias("q"), F.coalesce(F.count_if((F.col("a") <= q) & F.col("b").isNotNull()).over(before), F.lit(0)).alias("f")) for q in quotas))
+    placed = items.select("case_idx", "song_id", "a", "b", counts.alias("counts"), F.max("a").over(Window.partitionBy("case_idx")).alias("n_artist"))
+    found = placed.join(split.where("not observed").select("case_idx", "song_id"), ["case_idx", "song_id"], "left_semi")
+    table = F.array(*(F.struct(F.lit(f"CF + artist{int(r * 100)}% + popularity").alias("method"), F.lit(p).alias("pool"), F.lit(q).alias("q"), F.lit(quotas.index(q)).alias("no")) for r, p, q in combos))
+    each = found.withColumn("x", F.explode(table)).withColumn("f", F.get("counts", F.col("x.no"))["f"])
+    forced = F.coalesce(F.col("a") <= F.col("x.q"), F.lit(False))
+    others = (F.col("b") <= F.col("x.pool")) & (F.least(F.coalesce("n_artist", F.lit(0)), "x.q") + F.col("b") - F.col("f") <= F.col("x.pool"))
+    all_ = each.where(forced | F.coalesce(others, F.lit(False))).select("x.method", "x.pool", "case_idx", "song_id")
     sizes = F.explode(F.array(*map(F.lit, POOLS))).alias("pool")
-    methods = []
-    for ratio in RATIOS:
-        forced = F.array(*(F.struct(F.lit(p).alias("pool"), F.lit(quota(p, ratio)).alias("quota")) for p in POOLS))
-        a = artist.select("case_idx", "song_id", F.col("rank"), F.explode(forced).alias("x")).where("rank <= x.quota").select("case_idx", "song_id", "x.pool", F.struct(F.lit(0).alias("k"), "rank").alias("at"))
-        b = base.select("case_idx", "song_id", F.col("place").alias("rank"), sizes).where("rank <= pool").select("case_idx", "song_id", "pool", F.struct(F.lit(1).alias("k"), "rank").alias("at"))
-        one = a.unionByName(b).groupBy("pool", "case_idx", "song_id").agg(F.min("at").alias("at"))
-        one = one.withColumn("place", F.row_number().over(Window.partitionBy("pool", "case_idx").orderBy("at"))).where("place <= pool")
-        methods.append(one.select("pool", "case_idx", "song_id", F.lit(f"CF + artist{int(ratio * 100)}% + popularity").alias("method")))
-    for name, ranked in (("Popularity", unseen), ("CF", cf_ranked)):
-        methods.append(ranked.select(sizes, "case_idx", "song_id", "rank", F.lit(name).alias("method")).where("rank <= pool").drop("rank").select("pool", "case_idx", "song_id", "method"))
-    all_ = methods[0]
-    for m in methods[1:]:
-        all_ = all_.unionByName(m)
+    truth = split.where("not observed").select("case_idx", "song_id")
+    for name, ranked in (("Popularity", unseen), ("CF", ordered(cf, pop, "cf"))):
+        hit = ranked.join(truth, ["case_idx", "song_id"], "left_semi").select(F.lit(name).alias("method"), sizes, "case_idx", "song_id", "rank").where("rank <= pool")
+        all_ = all_.unionByName(hit.drop("rank"))
     return recall_of(all_, split, ("method", "pool"))
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 
 import re
 
+from cadenza.functions import vocabulary as v
+from cadenza.plans.views import lexicon
+
 
 def norm(x: str) -> str:
     return rf"trim(regexp_replace(regexp_replace(lower(coalesce({x}, '')), '\([^)]*\)|\[[^\]]*\]', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
@@ -14,6 +17,45 @@ def bin_(n: str) -> str:
     return f"CASE WHEN {n} <= 0 THEN '0' WHEN {n} > 100 THEN '100+' ELSE concat(((({n}) - 1) // 10) * 10 + 1, '-', ((({n}) - 1) // 10) * 10 + 10) END"
 
 
+def words(values) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in values) + "]"
+
+
+def hits(values) -> str:
+    return f"len(list_intersect(tokens, {words(values)}))"
+
+
+def labels(table: dict, key: str, pad: list[str]) -> str:
+    """The three best labels of a key by hits, filled up."""
+    scored = ", ".join(f"{{'minus': -{hits(w)}, 'label': '{k}'}}" for k, w in table.items() if k in v.ALLOWED[key])
+    best = f"list_transform(list_sort(list_filter([{scored}], lambda s: s.minus < 0))[1:3], lambda s: s.label)"
+    return f"list_transform([{best}], lambda b: list_concat(b, list_filter({words(pad)}, lambda x: NOT list_contains(b, x)))[1:3])[1]"
+
+
+def more(a: str, b: str, x: str, y: str, z: str) -> str:
+    return f"CASE WHEN {a} > {b} THEN {x} WHEN {b} > {a} THEN {y} ELSE {z} END"
+
+
+def unit(source: str, key: str) -> str:
+    return f"SELECT {key}, feature, value / n AS value FROM (SELECT {key}, feature, value, sqrt(sum(value * value) OVER (PARTITION BY {key})) AS n FROM ({source})) WHERE n > 0"
+
+
+_LEX = lexicon()
+_IN = lambda w: f"len(list_filter(regexp_extract_all(lower(title || ' ' || artist || ' ' || lyrics), '[a-zA-Z][a-zA-Z'']{{2,}}'), lambda x: list_contains({words(w)}, x)))"
+_ENTRIES = " UNION ALL ".join(
+    (f"SELECT song_id, '{k}:' || x AS feature, {w}::DOUBLE AS value FROM (SELECT song_id, unnest(list_distinct({k})) AS x FROM prof) WHERE x <> 'mixed'" if k in v.LIST_KEYS else f"SELECT song_id, '{k}:' || {k}, {w}::DOUBLE FROM prof WHERE {k} <> 'mixed'")
+    for k, w in v.VECTOR_WEIGHTS.items()
+)
+_MEAN = lambda which: f"SELECT s.case_idx, feature, sum(value) AS value FROM (SELECT case_idx, song_id, rn, max(rn) OVER (PARTITION BY case_idx) AS last FROM seen) s JOIN vec USING (song_id) WHERE {which} GROUP BY s.case_idx, feature"
+_BITS = "list_concat(" + ", ".join(
+    f"flatten(list_transform(list_filter(list_transform({k if k in v.LIST_KEYS else '[' + k + ']'}, lambda x: replace(x, '_', ' ')), lambda x: x <> 'mixed'), lambda x: [x, '{k} ' || x]))" for k in v.KEYS
+) + ")"
+_SIM = " + ".join(
+    [f"{w} * len(list_intersect(p.{k}, s.{k}))" for k, w in v.OVERLAP_WEIGHTS.items()]
+    + [f"CASE WHEN p.{k} <> 'mixed' AND p.{k} = s.{k} THEN {w} ELSE 0 END" for k, w in v.EXACT_WEIGHTS.items()]
+    + [f"CASE WHEN list_contains(p.top_keywords, '{k}') AND len(list_intersect(list_concat(s.affect, s.narrative_theme), {words(w)})) > 0 THEN 1 ELSE 0 END" for k, w in v.CROSS.items()]
+)
+
 QUOTAS = "(VALUES (0.25, 100, 25), (0.25, 200, 50), (0.25, 300, 75), (0.25, 400, 100), (0.25, 500, 125), (0.5, 100, 50), (0.5, 200, 100), (0.5, 300, 150), (0.5, 400, 200), (0.5, 500, 250), (0.75, 100, 75), (0.75, 200, 150), (0.75, 300, 225), (0.75, 400, 300), (0.75, 500, 375), (1.0, 100, 100), (1.0, 200, 200), (1.0, 300, 300), (1.0, 400, 400), (1.0, 500, 500)) q(ratio, pool, quota)"
 
 #: name -> definition; a definition may use the names before it.
@@ -52,6 +94,33 @@ CTES: dict[str, str] = {
     "variants": "SELECT * FROM (VALUES ('CF', 0, 0.35::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), ('metadata', 1, 0.0, 0.10, 0.10), ('CF + metadata', 2, 0.35, 0.10, 0.10)) v(variant, spot, w_cf, w_artist, w_pop)",
     "ranked": "SELECT variant, case_idx, song_id, score, row_number() OVER (PARTITION BY variant, case_idx ORDER BY round(score, 9) DESC, song_id) AS rank FROM (SELECT variant, case_idx, song_id, w_artist * artist_norm + w_cf * cf_norm + w_pop * pop_norm AS score FROM prepared, variants)",
     "top10": "SELECT r.variant, r.case_idx, r.song_id, round(r.score, 6) AS score, r.rank, CASE WHEN t.song_id IS NULL THEN 0 ELSE 1 END AS hit FROM ranked r LEFT JOIN truth t ON t.case_idx = r.case_idx AND t.song_id = r.song_id WHERE r.rank <= 10",
+    "worded": f"SELECT song_id, title, artist, array_to_string(list_transform(range(0, 12), lambda j: {words(_LEX)}[1 + (ord * 7 + j * (ord % 13 + 3)) % {len(_LEX)}]), ' ') AS lyrics FROM eval_songs JOIN (SELECT song_id, min(ord) AS ord FROM usable GROUP BY song_id) USING (song_id)",
+    "tok": f"SELECT song_id, list_distinct(string_split({norm("title || ' ' || lyrics")}, ' ')) AS tokens FROM worded",
+    "prof": f"SELECT song_id, {labels(v.EXPANSIONS, 'top_keywords', v.FALLBACK_KEYWORDS)} AS top_keywords, list_transform([{labels(v.AFFECT_WORDS, 'affect', ['mixed'])}], lambda l: CASE WHEN len(list_filter(l, lambda x: x <> 'dramatic')) = 0 THEN ['mixed'] ELSE list_filter(l, lambda x: x <> 'dramatic') END)[1] AS affect, {more(hits(v.EXPANSIONS['high_arousal']), hits(v.EXPANSIONS['low_arousal']), "'high'", "'low'", "'mid'")} AS energy, {more(hits(v.SONG_POSITIVE), hits(v.SONG_NEGATIVE), "'positive'", "'negative'", "'mixed'")} AS valence, {labels(v.GENRE_WORDS, 'genre_style', ['mixed'])} AS genre_style, {labels(v.THEME_WORDS, 'narrative_theme', ['mixed'])} AS narrative_theme, list_transform([list_reverse_sort([{', '.join("{'n': " + hits(w) + f", 'label': '{k}'}}" for k, w in v.CONTEXT_WORDS.items())}])[1]], lambda b: CASE WHEN b.n > 0 THEN b.label ELSE 'mixed' END)[1] AS listening_context, 'mixed' AS cohesion, 'same_vibe' AS next_song_role FROM tok",
+    "counted": f"SELECT song_id, lower(artist) AS artist, {_IN(v.LIST_POSITIVE)} AS pos, {_IN(v.LIST_NEGATIVE)} AS neg, {_IN(v.LIST_HIGH)} AS high, {_IN(v.LIST_LOW)} AS low, {_IN(['party', 'dance', 'club'])} AS club FROM worded",
+    "votes": "SELECT case_idx, max(n) / sum(n)::DOUBLE AS share, sum(pos) AS pos, sum(neg) AS neg, sum(high) AS high, sum(low) AS low, sum(club) AS club FROM (SELECT case_idx, artist, count(*) AS n, sum(pos) AS pos, sum(neg) AS neg, sum(high) AS high, sum(low) AS low, sum(club) AS club FROM seen JOIN counted USING (song_id) GROUP BY case_idx, artist) GROUP BY case_idx",
+    "plist": f"SELECT case_idx, {more('high', 'low', words(['dancefloor', 'high_arousal', 'party']), words(['melancholic_story', 'low_arousal', 'chill']), words(['mixed', 'nostalgic', 'singalong']))} AS top_keywords, [{more('pos', 'neg', "'euphoric'", "'melancholic'", "'mixed'")}] AS affect, {more('high', 'low', "'high'", "'low'", "'mid'")} AS energy, {more('pos', 'neg', "'positive'", "'negative'", "'mixed'")} AS valence, ['mixed'] AS genre_style, [{more('pos', 'neg', "'celebration'", "'heartbreak'", "'mixed'")}] AS narrative_theme, CASE WHEN club > 0 THEN 'party' ELSE 'mixed' END AS listening_context, CASE WHEN share >= 0.5 THEN 'genre' ELSE 'mixed' END AS cohesion, 'same_vibe' AS next_song_role FROM votes",
+    "expansions": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{w}')" for k, ws in v.EXPANSIONS.items() for w in ws) + ") e(label, word)",
+    "plabels": "SELECT DISTINCT case_idx, unnest(list_concat(" + ", ".join(k if k in v.LIST_KEYS else f"[{k}]" for k in v.KEYS) + ")) AS label FROM plist",
+    "terms": "SELECT DISTINCT case_idx, term FROM (SELECT case_idx, word AS term FROM plabels JOIN expansions USING (label) UNION ALL SELECT case_idx, replace(label, '_', ' ') FROM plabels WHERE length(label) >= 3 UNION ALL SELECT case_idx, t FROM (SELECT case_idx, unnest(string_split(label, '_')) AS t FROM plabels) WHERE length(t) >= 4)",
+    "tindex": f"SELECT song_id, token FROM (SELECT song_id, unnest(list_distinct(string_split({norm("title || ' ' || artist || ' ' || lyrics")}, ' '))) AS token FROM worded) WHERE length(token) >= 3",
+    "direct": "SELECT d.case_idx, d.song_id, sum(w) AS score FROM (SELECT case_idx, song_id, (CASE WHEN len(ws) > 1 THEN 2.0 ELSE 1.0 END / len(ws))::DOUBLE AS w FROM (SELECT case_idx, ws, unnest(ws) AS token FROM (SELECT case_idx, list_filter(string_split(term, ' '), lambda t: length(t) >= 3) AS ws FROM terms) WHERE len(ws) > 0) x JOIN tindex USING (token)) d WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.case_idx = d.case_idx AND s.song_id = d.song_id) GROUP BY 1, 2",
+    "vec": unit(_ENTRIES, "song_id"),
+    "lvec": unit(_MEAN("true"), "case_idx"),
+    "svec": unit(_MEAN("rn > last - 8"), "case_idx"),
+    "blend": "SELECT *, greatest(0.25, least(0.75, 0.35 + 0.35 * (1 - greatest(0.0, least(1.0, cos)))))::DOUBLE AS alpha FROM (SELECT *, sum(l * s) OVER (PARTITION BY case_idx) AS cos FROM (SELECT coalesce(a.case_idx, b.case_idx) AS case_idx, coalesce(a.feature, b.feature) AS feature, coalesce(a.value, 0) AS l, coalesce(b.value, 0) AS s FROM lvec a FULL JOIN svec b ON a.case_idx = b.case_idx AND a.feature = b.feature))",
+    "uvec": unit("SELECT case_idx, feature, (1 - alpha) * l + alpha * s AS value FROM blend", "case_idx"),
+    "emo": "SELECT p.case_idx, p.song_id, coalesce(sum(v.value * u.value), 0) AS lemon FROM pool p LEFT JOIN vec v ON v.song_id = p.song_id LEFT JOIN uvec u ON u.case_idx = p.case_idx AND u.feature = v.feature GROUP BY 1, 2",
+    "emo_norm": "SELECT case_idx, song_id, CASE WHEN max(lemon) OVER w <= min(lemon) OVER w THEN CASE WHEN lemon > 0 THEN 1.0 ELSE 0.0 END ELSE (lemon - min(lemon) OVER w) / (max(lemon) OVER w - min(lemon) OVER w) END AS lemon_norm FROM emo WINDOW w AS (PARTITION BY case_idx)",
+    "ctext": f"SELECT song_id, title || ' ' || artist || ' ' || lyrics || ' ' || array_to_string({_BITS}, ' ') AS text FROM worded JOIN prof USING (song_id)",
+    "cwords": "SELECT song_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: regexp_full_match(w, '[a-z][a-z0-9_]+')) AS w FROM ctext",
+    "cterms": "SELECT song_id, feature, count(*) AS tf FROM (SELECT song_id, unnest(w) AS feature FROM cwords UNION ALL SELECT song_id, w[i] || ' ' || w[i + 1] FROM (SELECT song_id, w, unnest(range(1, len(w))) AS i FROM cwords)) GROUP BY 1, 2",
+    "kept": "SELECT feature, count(*) AS df FROM cterms GROUP BY feature ORDER BY sum(tf) DESC, feature LIMIT 6000",
+    "tfidf": unit("SELECT song_id, feature, tf * (ln((1 + (SELECT count(*) FROM ctext)) / (1 + df)::DOUBLE) + 1) AS value FROM cterms JOIN kept USING (feature)", "song_id"),
+    "cweights": "SELECT case_idx, song_id, CASE WHEN rn > max(rn) OVER (PARTITION BY case_idx) - 10 THEN 2.0 ELSE 1.0 END::DOUBLE AS w FROM seen",
+    "cprofile": "SELECT case_idx, feature, sum(w * value) AS p FROM cweights JOIN tfidf USING (song_id) GROUP BY 1, 2",
+    "content": "SELECT *, row_number() OVER (PARTITION BY case_idx ORDER BY round(content, 9) DESC, song_id) AS content_rank FROM (SELECT c.case_idx, c.song_id, s / total AS content FROM (SELECT case_idx, song_id, sum(p * value) AS s FROM cprofile JOIN tfidf USING (feature) GROUP BY 1, 2) c JOIN (SELECT case_idx, sum(w) AS total FROM cweights GROUP BY 1) t ON t.case_idx = c.case_idx WHERE NOT EXISTS (SELECT 1 FROM seen x WHERE x.case_idx = c.case_idx AND x.song_id = c.song_id)) WHERE content > 0 QUALIFY row_number() OVER (PARTITION BY case_idx ORDER BY round(content, 9) DESC, song_id) <= 500",
+    "content_ranked": "SELECT case_idx, c.song_id, row_number() OVER (PARTITION BY case_idx ORDER BY round(content, 9) DESC, coalesce(pop, 0) DESC, c.song_id) AS rank FROM content c LEFT JOIN pop ON pop.song_id = c.song_id",
     "n_true": "SELECT case_idx, count(*) AS n_true, sum(count(*)) OVER () * 0 + (SELECT count(DISTINCT case_idx) FROM split) AS n_cases FROM truth GROUP BY case_idx",
 }
 
@@ -158,6 +227,46 @@ JOIN n_true n ON n.case_idx = h.case_idx GROUP BY method, pool""",
 }
 
 
+_LISTED = lambda key: f"SELECT {key}, " + ", ".join(f"array_to_string({k}, '|') AS {k}" if k in v.LIST_KEYS else k for k in v.KEYS)
+
+
+def merged(routes: list[str], pool: str) -> str:
+    """Two routes in turn, then the third: case_idx, song_id, place."""
+    return f"SELECT case_idx, song_id, place FROM (SELECT case_idx, song_id, row_number() OVER (PARTITION BY case_idx ORDER BY min(spot)) AS place FROM (SELECT case_idx, song_id, rank * 2 AS spot FROM {routes[0]} WHERE rank <= {pool} UNION ALL SELECT case_idx, song_id, rank * 2 + 1 FROM {routes[1]} WHERE rank <= {pool} UNION ALL SELECT case_idx, song_id, 1000000 + rank FROM {routes[2]}) GROUP BY case_idx, song_id) WHERE place <= {pool}"
+
+
+def recall(source: str, keys: str) -> str:
+    return f"SELECT {keys}, round(sum(hits / n_true::DOUBLE) / any_value(n_cases), 6) AS recall FROM (SELECT {keys}, m.case_idx, count(*) AS hits FROM ({source}) m JOIN truth t ON t.case_idx = m.case_idx AND t.song_id = m.song_id GROUP BY {keys}, m.case_idx) h JOIN n_true n ON n.case_idx = h.case_idx GROUP BY {keys}"
+
+
+_HYBRID = " UNION ALL ".join(
+    f"SELECT 'Item-CF' AS method, {p} AS pool, case_idx, song_id FROM cf_ranked WHERE rank <= {p} UNION ALL SELECT 'Content', {p}, case_idx, song_id FROM content_ranked WHERE rank <= {p} UNION ALL SELECT 'Hybrid', {p}, case_idx, song_id FROM ({merged(['cf_ranked', 'content_ranked', 'unseen'], str(p))})"
+    for p in (100, 200, 300, 400, 500)
+)
+_LEMON = {"LEMON": (0.0, 0.0, 0.0, 1.0), "CF + LEMON": (0.35, 0.0, 0.0, 0.01), "metadata + LEMON": (0.0, 0.1, 0.1, 0.01), "CF + metadata + LEMON": (0.35, 0.1, 0.1, 0.01)}
+_ALL_LABELS = list(dict.fromkeys([*v.ALIASES, *(x for k in v.KEYS for x in v.ALLOWED[k]), "R&B", "Hip Hop", "no such label", ""]))
+BODIES |= {
+    "song_profile_heuristic": _LISTED("song_id") + " FROM prof",
+    "playlist_profile_heuristic": _LISTED("case_idx") + " FROM plist",
+    "label_normalization": "SELECT label, key, CASE WHEN w.label IS NULL THEN '' ELSE coalesce(a.normal, '') END AS normal FROM (SELECT unnest(" + words(_ALL_LABELS) + ") AS label) w, (SELECT unnest(" + words(v.KEYS) + ") AS key) k LEFT JOIN (SELECT l.label AS raw, allowed.key AS k, allowed.label AS normal FROM (SELECT unnest(" + words(_ALL_LABELS) + f") AS label) l LEFT JOIN (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in v.ALIASES.items()) + f") s(alias, target) ON alias = replace({norm('l.label')}, ' ', '_') JOIN (VALUES " + ", ".join(f"('{k}', '{x}')" for k in v.KEYS for x in v.ALLOWED[k]) + f") allowed(key, label) ON allowed.label = coalesce(target, replace({norm('l.label')}, ' ', '_'))) a ON a.raw = w.label AND a.k = k.key",
+    "profile_similarity": f"SELECT c.case_idx, c.song_id, coalesce({_SIM}, 0)::DOUBLE AS semantic FROM pool c LEFT JOIN plist p ON p.case_idx = c.case_idx LEFT JOIN prof s ON s.song_id = c.song_id",
+    "semantic_terms": "SELECT * FROM terms",
+    "token_index": "SELECT * FROM tindex",
+    "direct_text_scores": "SELECT case_idx, song_id, round(score, 6) AS score FROM direct",
+    "semantic_stage1_recall": recall("SELECT 'CF' AS method, case_idx, song_id FROM base UNION ALL SELECT 'Text', case_idx, song_id FROM (SELECT case_idx, song_id, row_number() OVER (PARTITION BY case_idx ORDER BY min(spot)) AS place FROM (SELECT case_idx, d.song_id, row_number() OVER (PARTITION BY case_idx ORDER BY round(score, 9) DESC, coalesce(pop, 0) DESC, d.song_id) AS spot FROM direct d LEFT JOIN pop ON pop.song_id = d.song_id UNION ALL SELECT case_idx, song_id, 1000000 + rank FROM unseen) GROUP BY case_idx, song_id) WHERE place <= 500", "method"),
+    "lemon_song_vectors": "SELECT song_id, feature, round(value, 6) AS value FROM vec",
+    "lemon_user_vectors": "SELECT case_idx, feature, round(value, 6) AS value FROM uvec",
+    "lemon_alpha": "SELECT round(avg(alpha), 6) AS mean, round(min(alpha), 6) AS low, round(max(alpha), 6) AS high FROM (SELECT case_idx, max(alpha) AS alpha FROM blend GROUP BY case_idx)",
+    "lemon_rank": measured("SELECT variant, case_idx, song_id, row_number() OVER (PARTITION BY variant, case_idx ORDER BY round(w0 * cf_norm + w1 * artist_norm + w2 * pop_norm + w3 * lemon_norm, 9) DESC, song_id) AS rank FROM prepared JOIN emo_norm USING (case_idx, song_id), (VALUES " + ", ".join(f"('{k}', {w[0]}::DOUBLE, {w[1]}::DOUBLE, {w[2]}::DOUBLE, {w[3]}::DOUBLE)" for k, w in _LEMON.items()) + ") q(variant, w0, w1, w2, w3)"),
+    "tfidf_weights": "SELECT song_id, feature, round(value, 6) AS value FROM tfidf",
+    "content_route_topk": "SELECT case_idx, song_id, round(content, 6) AS content, content_rank FROM content",
+    "hybrid_pool": merged(["cf_ranked", "content_ranked", "unseen"], "500"),
+    "hybrid_recall": recall(_HYBRID, "method, pool"),
+    "prompt_text": "SELECT song_id, md5(line) AS line_md5, length(line) AS line_chars FROM (SELECT song_id, '- title: ' || title || '; artist: ' || artist || '; lyrics_excerpt: ' || CASE WHEN length(t) > 240 THEN regexp_replace(t[1:240], ' [^ ]*$', '') ELSE t END AS line FROM (SELECT *, trim(regexp_replace(lyrics, '\\s+', ' ', 'g')) AS t FROM songs))",
+    "cache_key_sha1": """SELECT DISTINCT playlist_id, sha1('["fine_keywords_v1", "' || playlist_id || '"]') AS cache_key FROM split""",
+}
+
+
 def with_ctes(body: str) -> str:
     """The body after the definitions that it needs, directly or through others."""
     used: set[str] = set()

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.operators import candidates as cand
-from cadenza.operators import catalog, cf, coverage, diversity, metrics, scoring, split
+from cadenza.functions import vocabulary as v
+from cadenza.functions.text import cache_key, excerpt
+from cadenza.operators import catalog, cf, content, coverage, diversity, emotion, metrics, profiles, scoring, split
 from cadenza.plans import views
 
 #: Weightings of the ablation, in the order that ties are broken in.
@@ -22,7 +24,8 @@ SEED = 172
 
 
 class Model:
-    """The stages of the recommender over one set of tables, each defined once and planned lazily."""
+    """The stages of the recommender over one set of tables, each defined once and planned lazily. What
+    many stages of one query read again is persisted (in memory and on disk, recomputed if it is lost)."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -31,6 +34,11 @@ class Model:
     def songs(self) -> DataFrame:
         return catalog.first_wins(views.catalog_rows(self.spark, self.sf_dir))
 
+    @cached_property
+    def artists(self) -> DataFrame:
+        """song_id, artist of the pruned catalog."""
+        return self.eval_songs.select("song_id", "artist").persist()
+
     @cached_property
     def tracks(self) -> DataFrame:
         return views.tracks(self.spark, self.sf_dir)
@@ -41,7 +49,7 @@ class Model:
 
     @cached_property
     def split(self) -> DataFrame:
-        return split.holdout(self.marked.where("matched"))
+        return split.holdout(self.marked.where("matched")).persist()
 
     @cached_property
     def eval_songs(self) -> DataFrame:
@@ -62,7 +70,7 @@ class Model:
 
     @cached_property
     def cf(self) -> DataFrame:
-        return cf.cf_scores(self.split, self.near)
+        return cf.cf_scores(self.split, self.near).persist()
 
     @cached_property
     def unseen(self) -> DataFrame:
@@ -74,7 +82,7 @@ class Model:
 
     @cached_property
     def artist(self) -> DataFrame:
-        return cand.artist_candidates(self.split, self.eval_songs, self.pop)
+        return cand.artist_candidates(self.split, self.artists, self.pop)
 
     @cached_property
     def pool(self) -> DataFrame:
@@ -82,7 +90,45 @@ class Model:
 
     @cached_property
     def prepared(self) -> DataFrame:
-        return scoring.prepare(self.split, self.eval_songs, self.pool, self.cf, self.pop)
+        return scoring.prepare(self.split, self.artists, self.pool, self.cf, self.pop)
+
+
+    @cached_property
+    def worded(self) -> DataFrame:
+        """The pruned catalog with lyrics out of the lexicon."""
+        return views.worded(self.eval_songs, views.catalog_rows(self.spark, self.sf_dir)).persist()
+
+    @cached_property
+    def song_profiles(self) -> DataFrame:
+        return profiles.song_profiles(self.worded).persist()
+
+    @cached_property
+    def list_profiles(self) -> DataFrame:
+        return profiles.playlist_profiles(self.split, self.worded)
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        return emotion.song_vectors(self.song_profiles).persist()
+
+    @cached_property
+    def tfidf(self) -> DataFrame:
+        return content.tfidf(content.content_text(self.worded, self.song_profiles)).persist()
+
+    @cached_property
+    def content(self) -> DataFrame:
+        return content.content_scores(self.split, self.tfidf).persist()
+
+    @cached_property
+    def content_ranked(self) -> DataFrame:
+        return cand.ordered(self.content, self.pop, "content")
+
+    @cached_property
+    def with_emotion(self) -> DataFrame:
+        """The prepared candidates with `lemon_norm`."""
+        users, _ = emotion.user_vectors(self.split, self.vectors)
+        scores = emotion.emotion_scores(self.pool, users, self.vectors)
+        norm = scores.select("case_idx", "song_id", scoring.min_max(F.col("lemon")).alias("lemon_norm"))
+        return self.prepared.join(norm, ["case_idx", "song_id"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -243,7 +289,7 @@ def forced_merge_pool(m: Model) -> DataFrame:
 
 @query
 def stage1_recall_grid(m: Model) -> DataFrame:
-    return cand.recall_grid(m.split, m.cf, m.artist, m.pop, m.unseen)
+    return cand.recall_grid(m.split, m.cf, m.artist, m.base, m.pop, m.unseen)
 
 
 @query
@@ -306,3 +352,129 @@ def popularity_baseline(m: Model) -> DataFrame:
 @query
 def cold_start_cases(m: Model) -> DataFrame:
     return scoring.cold_start(m.split, m.cf)
+
+
+def _flat(profile: DataFrame, key: str) -> DataFrame:
+    """Profiles with their lists as text."""
+    return profile.select(key, *(F.array_join(k, "|").alias(k) if k in v.LIST_KEYS else F.col(k) for k in v.KEYS))
+
+
+@query
+def song_profile_heuristic(m: Model) -> DataFrame:
+    return _flat(m.song_profiles, "song_id")
+
+
+@query
+def playlist_profile_heuristic(m: Model) -> DataFrame:
+    return _flat(m.list_profiles, "case_idx")
+
+
+@query
+def label_normalization(m: Model) -> DataFrame:
+    """Every alias and label, against every key."""
+    words = [*v.ALIASES, *(x for k in v.KEYS for x in v.ALLOWED[k]), "R&B", "Hip Hop", "no such label", ""]
+    rows = m.spark.createDataFrame([(w,) for w in dict.fromkeys(words)], "label string")
+    each = [F.struct(F.lit(k).alias("key"), profiles.normalize_label(F.col("label"), k).alias("normal")) for k in v.KEYS]
+    return rows.select("label", F.explode(F.array(*each)).alias("x")).select("label", "x.key", "x.normal")
+
+
+@query
+def profile_similarity(m: Model) -> DataFrame:
+    return profiles.profile_scores(m.pool, m.list_profiles, m.song_profiles)
+
+
+@query
+def semantic_terms(m: Model) -> DataFrame:
+    return profiles.semantic_terms(m.list_profiles)
+
+
+@query
+def token_index(m: Model) -> DataFrame:
+    return profiles.token_index(m.worded)
+
+
+@query
+def direct_text_scores(m: Model) -> DataFrame:
+    rows = profiles.direct_scores(profiles.semantic_terms(m.list_profiles), profiles.token_index(m.worded), m.split)
+    return rows.select("case_idx", "song_id", F.round("score", 6).alias("score"))
+
+
+@query
+def semantic_stage1_recall(m: Model) -> DataFrame:
+    """Recall of pools of 500 by collaborative filtering and by the text of the playlist's profile."""
+    text = profiles.direct_scores(profiles.semantic_terms(m.list_profiles), profiles.token_index(m.worded), m.split)
+    by_text = cand.merge([cand.ordered(text, m.pop, "score"), m.unseen], 0, 500)
+    both = m.base.withColumn("method", F.lit("CF")).unionByName(by_text.withColumn("method", F.lit("Text")))
+    return cand.recall_of(both, m.split, ("method",))
+
+
+@query
+def lemon_song_vectors(m: Model) -> DataFrame:
+    return m.vectors.select("song_id", "feature", F.round("value", 6).alias("value"))
+
+
+@query
+def lemon_user_vectors(m: Model) -> DataFrame:
+    users, _ = emotion.user_vectors(m.split, m.vectors)
+    return users.select("case_idx", "feature", F.round("value", 6).alias("value"))
+
+
+@query
+def lemon_alpha(m: Model) -> DataFrame:
+    _, alpha = emotion.user_vectors(m.split, m.vectors)
+    return alpha.agg(F.round(F.avg("alpha"), 6).alias("mean"), F.round(F.min("alpha"), 6).alias("low"), F.round(F.max("alpha"), 6).alias("high"))
+
+
+LEMON_VARIANTS = {
+    "LEMON": {"lemon": 1.0},
+    "CF + LEMON": {"cf": 0.35, "lemon": 0.01},
+    "metadata + LEMON": {"artist": 0.10, "pop": 0.10, "lemon": 0.01},
+    "CF + metadata + LEMON": {"cf": 0.35, "artist": 0.10, "pop": 0.10, "lemon": 0.01},
+}
+
+
+@query
+def lemon_rank(m: Model) -> DataFrame:
+    return metrics.evaluate(scoring.rank_variants(m.with_emotion, LEMON_VARIANTS), m.split)
+
+
+@query
+def tfidf_weights(m: Model) -> DataFrame:
+    return m.tfidf.select("song_id", "feature", F.round("value", 6).alias("value"))
+
+
+@query
+def content_route_topk(m: Model) -> DataFrame:
+    return m.content.select("case_idx", "song_id", F.round("content", 6).alias("content"), "content_rank")
+
+
+@query
+def hybrid_pool(m: Model) -> DataFrame:
+    return cand.merge([cand.ordered(m.cf, m.pop, "cf"), m.content_ranked, m.unseen], 2, 500)
+
+
+@query
+def hybrid_recall(m: Model) -> DataFrame:
+    """Recall of the two routes and of their merge, by pool size. The merge for a smaller pool is the start of
+    the merge for the largest: a route that is cut at the pool's size has filled it by then."""
+    cf_ranked = cand.ordered(m.cf, m.pop, "cf")
+    whole = cand.merge([cf_ranked, m.content_ranked, m.unseen], 2, max(cand.POOLS)).select("case_idx", "song_id", F.col("place").alias("rank"))
+    rows = None
+    for name, r in (("Item-CF", cf_ranked), ("Content", m.content_ranked), ("Hybrid", whole)):
+        own = r.select(F.lit(name).alias("method"), "case_idx", "song_id", "rank")
+        rows = own if rows is None else rows.unionByName(own)
+    hit = rows.join(m.split.where("not observed").select("case_idx", "song_id"), ["case_idx", "song_id"], "left_semi")
+    hit = hit.select("*", F.explode(F.array(*map(F.lit, cand.POOLS))).alias("pool")).where("rank <= pool")
+    return cand.recall_of(hit, m.split, ("method", "pool"))
+
+
+@query
+def prompt_text(m: Model) -> DataFrame:
+    """The line of each song in a prompt."""
+    line = F.concat(F.lit("- title: "), F.col("title"), F.lit("; artist: "), F.col("artist"), F.lit("; lyrics_excerpt: "), excerpt(F.col("lyrics"), 240))
+    return m.songs.select("song_id", F.md5(line).alias("line_md5"), F.length(line).alias("line_chars"))
+
+
+@query
+def cache_key_sha1(m: Model) -> DataFrame:
+    return m.split.select("playlist_id").distinct().select("playlist_id", cache_key(F.lit("fine_keywords_v1"), F.col("playlist_id")).alias("cache_key"))

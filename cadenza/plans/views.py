@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cadenza.functions import vocabulary as v
 from cadenza.functions.text import song_key
+from cadenza.operators.catalog import usable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,3 +37,21 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(parts(spark, sf_dir), F.col("l_partkey") == F.col("p_partkey"))
         .select(F.col("o_custkey").alias("playlist_id"), "pos", "song_id", "title", "artist", "p_type")
     )
+
+
+def lexicon() -> list[str]:
+    """Every word of the vocabulary's lists, once, in their order."""
+    lists = (v.EXPANSIONS, v.GENRE_WORDS, v.AFFECT_WORDS, v.THEME_WORDS, v.CONTEXT_WORDS)
+    return list(dict.fromkeys(w for table_ in lists for words in table_.values() for w in words))
+
+
+def worded(songs: DataFrame, rows: DataFrame, words: int = 12) -> DataFrame:
+    """Songs with lyrics out of the lexicon, picked by arithmetic on the key of their first row: the
+    generated documents hold none of its words."""
+    lex = lexicon()
+    first = usable(rows).groupBy("song_id").agg(F.min("ord").alias("k"))
+    pick = F.transform(
+        F.sequence(F.lit(0), F.lit(words - 1)),
+        lambda j: F.get(F.array(*map(F.lit, lex)), ((F.col("k") * 7 + j * (F.col("k") % 13 + 3)) % len(lex)).cast("int")),
+    )
+    return songs.join(first, "song_id").select("song_id", "title", "artist", F.array_join(pick, " ").alias("lyrics"))
