@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cadenza.operators import candidates as cand
 from cadenza.functions import vocabulary as v
 from cadenza.functions.text import cache_key, excerpt
-from cadenza.operators import catalog, cf, content, coverage, diversity, emotion, metrics, profiles, scoring, split
+from cadenza.operators import adapter, catalog, cf, content, coverage, diversity, emotion, knowledge, metrics, profiles, scoring, split
 from cadenza.plans import views
 
 #: Weightings of the ablation, in the order that ties are broken in.
@@ -478,3 +478,96 @@ def prompt_text(m: Model) -> DataFrame:
 @query
 def cache_key_sha1(m: Model) -> DataFrame:
     return m.split.select("playlist_id").distinct().select("playlist_id", cache_key(F.lit("fine_keywords_v1"), F.col("playlist_id")).alias("cache_key"))
+
+
+@query
+def knowledge_texts(m: Model) -> DataFrame:
+    items = knowledge.item_texts(m.worded, m.song_profiles).select(F.col("song_id").alias("id"), "text")
+    lists = knowledge.playlist_texts(m.split, m.worded, m.song_profiles).select(F.col("case_idx").cast("string").alias("id"), "text")
+    return items.withColumn("kind", F.lit("item")).unionByName(lists.withColumn("kind", F.lit("playlist")))
+
+
+def _knowledge_scores(m: Model, dimensions: int = 32, features: int = 4000) -> DataFrame:
+    items = knowledge.item_texts(m.worded, m.song_profiles).select(F.concat(F.lit("i:"), "song_id").alias("id"), "text")
+    lists = knowledge.playlist_texts(m.split, m.worded, m.song_profiles).select(F.concat(F.lit("u:"), F.col("case_idx").cast("string")).alias("id"), "text")
+    encoded = content.tfidf(items.unionByName(lists), "id", features).persist()
+    dense, _ = knowledge.svd(encoded, "id", dimensions)
+    users = dense.where("id like 'u:%'").select(F.substring("id", 3, 100).cast("int").alias("case_idx"), "vec")
+    return knowledge.dot_scores(m.pool, users, dense.where("id like 'i:%'").select(F.expr("substring(id, 3)").alias("song_id"), "vec"), "kar")
+
+
+@query
+def kar_scores(m: Model) -> DataFrame:
+    return _knowledge_scores(m).select("case_idx", "song_id", F.round("kar", 6).alias("kar"))
+
+
+def _with_all(m: Model) -> DataFrame:
+    kar = _knowledge_scores(m).select("case_idx", "song_id", scoring.min_max(F.col("kar")).alias("kar_norm"))
+    return m.with_emotion.join(kar, ["case_idx", "song_id"])
+
+
+KAR_VARIANTS = {
+    "KAR": {"kar": 1.0},
+    "LEMON + KAR": {"lemon": 0.5, "kar": 0.5},
+    "CF + KAR": {"cf": 0.35, "kar": 0.01},
+    "CF + metadata + LEMON + KAR": {"cf": 0.35, "artist": 0.10, "pop": 0.10, "lemon": 0.01, "kar": 0.01},
+}
+
+
+@query
+def kar_rank_metrics(m: Model) -> DataFrame:
+    return metrics.evaluate(scoring.rank_variants(_with_all(m), KAR_VARIANTS), m.split)
+
+
+@query
+def lemon_svd_scores(m: Model) -> DataFrame:
+    """Emotion scores in the space of a truncated SVD of the song vectors."""
+    dense, _ = knowledge.svd(m.vectors, "song_id", 16)
+    long_ = dense.select("song_id", F.posexplode("vec").alias("c", "value")).select("song_id", F.col("c").cast("string").alias("feature"), "value")
+    users, _ = emotion.user_vectors(m.split, long_)
+    return emotion.emotion_scores(m.pool, users, long_).select("case_idx", "song_id", F.round("lemon", 6).alias("lemon"))
+
+
+@query
+def adapter_features(m: Model) -> DataFrame:
+    return adapter.features(_with_all(m), m.split)
+
+
+@query
+def adapter_feature_stats(m: Model) -> DataFrame:
+    """Mean and deviation of each feature over the training cases."""
+    rows = adapter.features(_with_all(m), m.split).persist()
+    kept = rows.join(adapter.split_cases(rows, SEED).where("is_train"), "case_idx", "left_semi")
+    found = adapter.stats(kept, adapter.SCALARS)
+    return m.spark.createDataFrame([(n, float(a), float(b)) for n, (a, b) in found.items()], "feature string, mean double, std double")
+
+
+@query
+def adapter_pairs(m: Model) -> DataFrame:
+    return adapter.pairs(adapter.features(_with_all(m), m.split).persist(), SEED).select("case_idx", "p", "j")
+
+
+def _adapter(m: Model, sets: dict[str, tuple[str, ...]]) -> DataFrame:
+    rows = adapter.features(_with_all(m), m.split).persist()
+    cases = adapter.split_cases(rows, SEED).persist()
+    learned = rows.join(cases.where("is_train"), "case_idx", "left_semi")
+    moments, sample = adapter.stats(learned, adapter.SCALARS), adapter.pairs(learned, SEED).persist()
+    ranked = None
+    for label, names in sets.items():
+        own = adapter.rank(rows, adapter.train(sample, moments, names, SEED), label).select("variant", "case_idx", "song_id", "rank")
+        ranked = own if ranked is None else ranked.unionByName(own)
+    out = None
+    for part, chosen in (("train", cases.where("is_train")), ("test", cases.where("not is_train")), ("all", cases)):
+        own = metrics.evaluate(ranked.join(chosen, "case_idx", "left_semi"), m.split.join(chosen, "case_idx", "left_semi")).withColumn("part", F.lit(part))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query
+def adapter_metrics(m: Model) -> DataFrame:
+    return _adapter(m, {"Adapter all": adapter.SCALARS})
+
+
+@query
+def adapter_ablation(m: Model) -> DataFrame:
+    return _adapter(m, adapter.SETS)
