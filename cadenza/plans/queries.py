@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from functools import cached_property
 
@@ -23,9 +24,21 @@ VARIANTS = {
 SEED = 172
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """The same rows from a checkpoint: plans stay small however many stages are composed. The folder is the
+    cluster's (spark.checkpoint.dir); where none is set and the master is local, one of this machine."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if own is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(own or "file://" + tempfile.mkdtemp(prefix="cadenza-"))
+    return df.checkpoint()
+
+
 class Model:
-    """The stages of the recommender over one set of tables, each defined once and planned lazily. What
-    many stages of one query read again is persisted (in memory and on disk, recomputed if it is lost)."""
+    """The stages of the recommender over one set of tables, each defined once. What many stages of one query
+    read again is checkpointed."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -37,7 +50,7 @@ class Model:
     @cached_property
     def artists(self) -> DataFrame:
         """song_id, artist of the pruned catalog."""
-        return self.eval_songs.select("song_id", "artist").persist()
+        return _cut(self.eval_songs.select("song_id", "artist"))
 
     @cached_property
     def tracks(self) -> DataFrame:
@@ -49,7 +62,7 @@ class Model:
 
     @cached_property
     def split(self) -> DataFrame:
-        return split.holdout(self.marked.where("matched")).persist()
+        return _cut(split.holdout(self.marked.where("matched")))
 
     @cached_property
     def eval_songs(self) -> DataFrame:
@@ -70,7 +83,7 @@ class Model:
 
     @cached_property
     def cf(self) -> DataFrame:
-        return cf.cf_scores(self.split, self.near).persist()
+        return _cut(cf.cf_scores(self.split, self.near))
 
     @cached_property
     def unseen(self) -> DataFrame:
@@ -86,21 +99,21 @@ class Model:
 
     @cached_property
     def pool(self) -> DataFrame:
-        return cand.forced_pool(self.artist, self.base)
+        return _cut(cand.forced_pool(self.artist, self.base))
 
     @cached_property
     def prepared(self) -> DataFrame:
-        return scoring.prepare(self.split, self.artists, self.pool, self.cf, self.pop)
+        return _cut(scoring.prepare(self.split, self.artists, self.pool, self.cf, self.pop))
 
 
     @cached_property
     def worded(self) -> DataFrame:
         """The pruned catalog with lyrics out of the lexicon."""
-        return views.worded(self.eval_songs, views.catalog_rows(self.spark, self.sf_dir)).persist()
+        return _cut(views.worded(self.eval_songs, views.catalog_rows(self.spark, self.sf_dir)))
 
     @cached_property
     def song_profiles(self) -> DataFrame:
-        return profiles.song_profiles(self.worded).persist()
+        return _cut(profiles.song_profiles(self.worded))
 
     @cached_property
     def list_profiles(self) -> DataFrame:
@@ -108,15 +121,15 @@ class Model:
 
     @cached_property
     def vectors(self) -> DataFrame:
-        return emotion.song_vectors(self.song_profiles).persist()
+        return _cut(emotion.song_vectors(self.song_profiles))
 
     @cached_property
     def tfidf(self) -> DataFrame:
-        return content.tfidf(content.content_text(self.worded, self.song_profiles)).persist()
+        return _cut(content.tfidf(content.content_text(self.worded, self.song_profiles)))
 
     @cached_property
     def content(self) -> DataFrame:
-        return content.content_scores(self.split, self.tfidf).persist()
+        return _cut(content.content_scores(self.split, self.tfidf))
 
     @cached_property
     def content_ranked(self) -> DataFrame:
@@ -128,7 +141,7 @@ class Model:
         users, _ = emotion.user_vectors(self.split, self.vectors)
         scores = emotion.emotion_scores(self.pool, users, self.vectors)
         norm = scores.select("case_idx", "song_id", scoring.min_max(F.col("lemon")).alias("lemon_norm"))
-        return self.prepared.join(norm, ["case_idx", "song_id"])
+        return _cut(self.prepared.join(norm, ["case_idx", "song_id"]))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -490,7 +503,7 @@ def knowledge_texts(m: Model) -> DataFrame:
 def _knowledge_scores(m: Model, dimensions: int = 32, features: int = 4000) -> DataFrame:
     items = knowledge.item_texts(m.worded, m.song_profiles).select(F.concat(F.lit("i:"), "song_id").alias("id"), "text")
     lists = knowledge.playlist_texts(m.split, m.worded, m.song_profiles).select(F.concat(F.lit("u:"), F.col("case_idx").cast("string")).alias("id"), "text")
-    encoded = content.tfidf(items.unionByName(lists), "id", features).persist()
+    encoded = _cut(content.tfidf(items.unionByName(lists), "id", features))
     dense, _ = knowledge.svd(encoded, "id", dimensions)
     users = dense.where("id like 'u:%'").select(F.substring("id", 3, 100).cast("int").alias("case_idx"), "vec")
     return knowledge.dot_scores(m.pool, users, dense.where("id like 'i:%'").select(F.expr("substring(id, 3)").alias("song_id"), "vec"), "kar")
@@ -503,7 +516,7 @@ def kar_scores(m: Model) -> DataFrame:
 
 def _with_all(m: Model) -> DataFrame:
     kar = _knowledge_scores(m).select("case_idx", "song_id", scoring.min_max(F.col("kar")).alias("kar_norm"))
-    return m.with_emotion.join(kar, ["case_idx", "song_id"])
+    return _cut(m.with_emotion.join(kar, ["case_idx", "song_id"]))
 
 
 KAR_VARIANTS = {
@@ -536,7 +549,7 @@ def adapter_features(m: Model) -> DataFrame:
 @query
 def adapter_feature_stats(m: Model) -> DataFrame:
     """Mean and deviation of each feature over the training cases."""
-    rows = adapter.features(_with_all(m), m.split).persist()
+    rows = _cut(adapter.features(_with_all(m), m.split))
     kept = rows.join(adapter.split_cases(rows, SEED).where("is_train"), "case_idx", "left_semi")
     found = adapter.stats(kept, adapter.SCALARS)
     return m.spark.createDataFrame([(n, float(a), float(b)) for n, (a, b) in found.items()], "feature string, mean double, std double")
@@ -544,14 +557,14 @@ def adapter_feature_stats(m: Model) -> DataFrame:
 
 @query
 def adapter_pairs(m: Model) -> DataFrame:
-    return adapter.pairs(adapter.features(_with_all(m), m.split).persist(), SEED).select("case_idx", "p", "j")
+    return adapter.pairs(_cut(adapter.features(_with_all(m), m.split)), SEED).select("case_idx", "p", "j")
 
 
 def _adapter(m: Model, sets: dict[str, tuple[str, ...]]) -> DataFrame:
-    rows = adapter.features(_with_all(m), m.split).persist()
-    cases = adapter.split_cases(rows, SEED).persist()
+    rows = _cut(adapter.features(_with_all(m), m.split))
+    cases = _cut(adapter.split_cases(rows, SEED))
     learned = rows.join(cases.where("is_train"), "case_idx", "left_semi")
-    moments, sample = adapter.stats(learned, adapter.SCALARS), adapter.pairs(learned, SEED).persist()
+    moments, sample = adapter.stats(learned, adapter.SCALARS), _cut(adapter.pairs(learned, SEED))
     ranked = None
     for label, names in sets.items():
         own = adapter.rank(rows, adapter.train(sample, moments, names, SEED), label).select("variant", "case_idx", "song_id", "rank")
