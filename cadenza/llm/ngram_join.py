@@ -37,7 +37,7 @@ from cadenza.llm.components import components
 #: Shingles whose hash is below this lead the order, by frequency.
 LEADING = np.uint64(1 << 62)
 #: Documents of a cluster that are searched at a time.
-BLOCK = 4096
+BLOCK = 2048
 #: Shingles that a block's task holds, on average.
 BUCKET = 1 << 20
 #: Words whose hashes a Python worker remembers.

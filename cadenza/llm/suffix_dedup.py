@@ -40,7 +40,7 @@ GRAM = 50
 #: Bytes of a text that are handled at a time.
 CHUNK = 1 << 18
 #: Differing segments of one anchor that are sorted together.
-DEALT = 2048
+DEALT = 1024
 #: Bytes of a block on average, and the bits for a place in it.
 BLOCK, BITS = 1 << 19, 21
 _MASK = np.uint64((1 << BITS) - 1)
@@ -254,7 +254,7 @@ def _settle(length: int):
         rows, size = [], 0
         for group in by_anchor.values():  # whole anchors, as many as a block holds
             own = sum(len(raw[i]) + 1 for i in group)
-            if rows and size + own >= 1 << BITS:
+            if rows and size + own >= BLOCK:
                 sort(rows)
                 rows, size = [], 0
             rows += group
