@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def deduped(tracks: DataFrame) -> DataFrame:
@@ -11,11 +12,19 @@ def deduped(tracks: DataFrame) -> DataFrame:
     return tracks.groupBy("playlist_id", "song_id").agg(F.min("pos").alias("pos"))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Sorted rows with their place as case_idx, from 1: every task numbers its own, behind the counts of the
+    tasks before it."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("case_idx", T.IntegerType(), False)])
+    return rows.sparkSession.createDataFrame(rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)), schema)
+
+
 def holdout(tracks: DataFrame, holdout_k: int = 10, least: int = 20, cap: int | None = 1000) -> DataFrame:
     """case_idx, playlist_id, song_id, rn (place among the distinct items), n, observed.
 
     Collections with fewer than max(least, 2) distinct items go; of the others the first `cap` by id are
-    cases. The last min(holdout_k, n - 1) items are held out; with holdout_k = 0 there are no cases."""
+    cases, or all of them without a cap, numbered from 1 by id. The last min(holdout_k, n - 1) items are held
+    out; with holdout_k = 0 there are no cases."""
     items = deduped(tracks)
     sizes = items.groupBy("playlist_id").agg(F.count("*").alias("n")).where(F.col("n") >= max(least, 2))
     if holdout_k <= 0:
@@ -25,7 +34,7 @@ def holdout(tracks: DataFrame, holdout_k: int = 10, least: int = 20, cap: int |
         # at most `cap` rows are numbered
         chosen = F.broadcast(chosen.limit(cap).withColumn("case_idx", F.row_number().over(Window.orderBy("playlist_id"))))
     else:
-        chosen = chosen.withColumn("case_idx", F.col("playlist_id").cast("long"))
+        chosen = numbered(chosen)
     rank = F.row_number().over(Window.partitionBy("playlist_id").orderBy("pos"))
     held = F.least(F.lit(holdout_k), F.col("n") - 1)
     return items.join(chosen, "playlist_id").withColumn("rn", rank).select("case_idx", "playlist_id", "song_id", "rn", "n", (F.col("rn") <= F.col("n") - held).alias("observed"))

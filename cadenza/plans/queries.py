@@ -40,6 +40,9 @@ class Model:
     """The stages of the recommender over one set of tables, each defined once. What many stages of one query
     read again is checkpointed."""
 
+    #: The cases of the queries that have SQL, which says LIMIT 1000 (recommandation.py has the same default).
+    cap: int | None = 1000
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
@@ -62,7 +65,7 @@ class Model:
 
     @cached_property
     def split(self) -> DataFrame:
-        return _cut(split.holdout(self.marked.where("matched")))
+        return _cut(split.holdout(self.marked.where("matched"), cap=self.cap))
 
     @cached_property
     def eval_songs(self) -> DataFrame:
@@ -144,6 +147,12 @@ class Model:
         return _cut(self.prepared.join(norm, ["case_idx", "song_id"]))
 
 
+class Whole(Model):
+    """The same over every eligible playlist, for the queries that no SQL binds to the first 1000."""
+
+    cap = None
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -152,6 +161,11 @@ def query(f: Callable[[Model], DataFrame]) -> Callable[[Model], DataFrame]:
     return f
 
 
+def whole_query(f: Callable[[Model], DataFrame]) -> Callable[[Model], DataFrame]:
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(Whole(spark, sf_dir))
+    return f
+
+
 @query
 def normalize_keys(m: Model) -> DataFrame:
     return views.parts(m.spark, m.sf_dir).select("p_partkey", "song_id")
@@ -493,7 +507,7 @@ def cache_key_sha1(m: Model) -> DataFrame:
     return m.split.select("playlist_id").distinct().select("playlist_id", cache_key(F.lit("fine_keywords_v1"), F.col("playlist_id")).alias("cache_key"))
 
 
-@query
+@whole_query
 def knowledge_texts(m: Model) -> DataFrame:
     items = knowledge.item_texts(m.worded, m.song_profiles).select(F.col("song_id").alias("id"), "text")
     lists = knowledge.playlist_texts(m.split, m.worded, m.song_profiles).select(F.col("case_idx").cast("string").alias("id"), "text")
@@ -509,7 +523,7 @@ def _knowledge_scores(m: Model, dimensions: int = 32, features: int = 4000) -> D
     return knowledge.dot_scores(m.pool, users, dense.where("id like 'i:%'").select(F.expr("substring(id, 3)").alias("song_id"), "vec"), "kar")
 
 
-@query
+@whole_query
 def kar_scores(m: Model) -> DataFrame:
     return _knowledge_scores(m).select("case_idx", "song_id", F.round("kar", 6).alias("kar"))
 
@@ -527,12 +541,12 @@ KAR_VARIANTS = {
 }
 
 
-@query
+@whole_query
 def kar_rank_metrics(m: Model) -> DataFrame:
     return metrics.evaluate(scoring.rank_variants(_with_all(m), KAR_VARIANTS), m.split)
 
 
-@query
+@whole_query
 def lemon_svd_scores(m: Model) -> DataFrame:
     """Emotion scores in the space of a truncated SVD of the song vectors."""
     dense, _ = knowledge.svd(m.vectors, "song_id", 16)
@@ -541,12 +555,12 @@ def lemon_svd_scores(m: Model) -> DataFrame:
     return emotion.emotion_scores(m.pool, users, long_).select("case_idx", "song_id", F.round("lemon", 6).alias("lemon"))
 
 
-@query
+@whole_query
 def adapter_features(m: Model) -> DataFrame:
     return adapter.features(_with_all(m), m.split)
 
 
-@query
+@whole_query
 def adapter_feature_stats(m: Model) -> DataFrame:
     """Mean and deviation of each feature over the training cases."""
     rows = _cut(adapter.features(_with_all(m), m.split))
@@ -555,7 +569,7 @@ def adapter_feature_stats(m: Model) -> DataFrame:
     return m.spark.createDataFrame([(n, float(a), float(b)) for n, (a, b) in found.items()], "feature string, mean double, std double")
 
 
-@query
+@whole_query
 def adapter_pairs(m: Model) -> DataFrame:
     return adapter.pairs(_cut(adapter.features(_with_all(m), m.split)), SEED).select("case_idx", "p", "j")
 
@@ -576,11 +590,11 @@ def _adapter(m: Model, sets: dict[str, tuple[str, ...]]) -> DataFrame:
     return out
 
 
-@query
+@whole_query
 def adapter_metrics(m: Model) -> DataFrame:
     return _adapter(m, {"Adapter all": adapter.SCALARS})
 
 
-@query
+@whole_query
 def adapter_ablation(m: Model) -> DataFrame:
     return _adapter(m, adapter.SETS)
