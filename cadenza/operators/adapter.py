@@ -1,10 +1,11 @@
 """A small learned re-ranker: features of candidates, a multi-layer perceptron trained on pairs, its ranking.
 
-Pairs are made and sampled in Spark, at most `most` of them; the optimiser runs on the driver in NumPy, and
-scores are computed on the executors."""
+Pairs are made and sampled in Spark; the optimiser runs on the driver in NumPy, over batches from files that
+hold all training rows there, and scores are computed on the executors."""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,23 +17,35 @@ from pyspark.sql import functions as F
 BASE = ("cf", "artist", "popularity", "lemon", "kar")
 PRODUCTS = ("cf_artist", "cf_popularity", "cf_lemon", "cf_kar", "artist_kar", "popularity_kar", "lemon_kar")
 SCALARS = (*BASE, *PRODUCTS)
+#: The products of the two knowledge vectors, coordinate by coordinate.
+KAR_DIM = 32
+KAR_PRODUCTS = tuple(f"kar_product_{i}" for i in range(KAR_DIM))
+FEATURES = (*SCALARS, *KAR_PRODUCTS)
 SETS = {
     "Adapter CF only": ("cf",),
     "Adapter CF + metadata": ("cf", "artist", "popularity", "cf_artist", "cf_popularity"),
     "Adapter CF + metadata + LEMON": ("cf", "artist", "popularity", "cf_artist", "cf_popularity", "lemon", "cf_lemon"),
     "Adapter CF + metadata + KAR score": ("cf", "artist", "popularity", "cf_artist", "cf_popularity", "kar", "cf_kar", "artist_kar", "popularity_kar"),
-    "Adapter semantic only": ("lemon", "kar", "lemon_kar"),
-    "Adapter all": SCALARS,
+    "Adapter CF + metadata + KAR vector": ("cf", "artist", "popularity", "cf_artist", "cf_popularity", *KAR_PRODUCTS),
+    "Adapter semantic only": ("lemon", "kar", "lemon_kar", *KAR_PRODUCTS),
+    "Adapter all": FEATURES,
 }
 
 
-def features(prepared: DataFrame, split: DataFrame) -> DataFrame:
-    """case_idx, song_id, the scalars, label (held out or not). `prepared` has cf_norm, artist_norm, pop_norm,
-    lemon_norm and kar_norm."""
+def features(prepared: DataFrame, split: DataFrame, users: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
+    """case_idx, song_id, the scalars, the products of the knowledge vectors (0 where one is missing), label
+    (held out or not). `prepared` has cf_norm, artist_norm, pop_norm, lemon_norm and kar_norm; `users` has
+    case_idx and vec, `items` song_id and vec."""
     truth = split.where("not observed").select("case_idx", "song_id", F.lit(1).alias("label"))
     rows = prepared.select("case_idx", "song_id", *(F.col(f"{'pop' if b == 'popularity' else b}_norm").alias(b) for b in BASE))
     products = [(F.col(p.split("_")[0]) * F.col(p.split("_")[1])).alias(p) for p in PRODUCTS]
-    return rows.select("*", *products).join(truth, ["case_idx", "song_id"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    rows = rows.select("*", *products)
+    vector = F.lit(None).cast("array<double>")
+    rows = rows.withColumn("_u", vector) if users is None else rows.join(users.select("case_idx", F.col("vec").alias("_u")), "case_idx", "left")
+    rows = rows.withColumn("_i", vector) if items is None else rows.join(items.select("song_id", F.col("vec").alias("_i")), "song_id", "left")
+    kar = [F.coalesce(F.get("_u", F.lit(i)) * F.get("_i", F.lit(i)), F.lit(0.0)).alias(p) for i, p in enumerate(KAR_PRODUCTS)]
+    rows = rows.select("case_idx", "song_id", *SCALARS, *kar)
+    return rows.join(truth, ["case_idx", "song_id"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
 
 def split_cases(rows: DataFrame, seed: int, test: float = 0.2) -> DataFrame:
@@ -50,17 +63,16 @@ def stats(rows: DataFrame, names: tuple[str, ...]) -> dict[str, tuple[float, flo
     return {n: (one[f"m_{n}"] or 0.0, one[f"s_{n}"] if (one[f"s_{n}"] or 0.0) >= 1e-6 else 1.0) for n in names}
 
 
-def pairs(rows: DataFrame, seed: int, per_positive: int = 4, most: int = 100_000) -> DataFrame:
-    """Features of each held-out candidate (pos) with those of sampled others of its case (neg)."""
-    x = F.array(*SCALARS)
+def pairs(rows: DataFrame, seed: int, per_positive: int = 20) -> DataFrame:
+    """Features of each held-out candidate (pos) with those of drawn others of its case (neg)."""
+    x = F.array(*(F.col(n).cast("float") for n in FEATURES))
     neg = rows.where("label = 0").select("case_idx", "song_id", x.alias("neg"))
     neg = neg.withColumn("k", F.row_number().over(Window.partitionBy("case_idx").orderBy("song_id"))).withColumn("n", F.count("*").over(Window.partitionBy("case_idx")))
     sizes = neg.groupBy("case_idx").agg(F.max("n").alias("n"))
     pos = rows.where("label = 1").select("case_idx", "song_id", x.alias("pos")).join(sizes, "case_idx")
     drawn = pos.select("case_idx", "pos", "n", F.col("song_id").alias("p"), F.explode(F.sequence(F.lit(1), F.lit(per_positive))).alias("j"))
     drawn = drawn.withColumn("k", (F.pmod(F.xxhash64(F.lit(seed), "case_idx", "p", "j"), F.col("n")) + 1).cast("int"))
-    out = drawn.join(neg.drop("n", "song_id"), ["case_idx", "k"]).select("case_idx", "p", "j", "pos", "neg")
-    return out.orderBy(F.xxhash64(F.lit(seed), "case_idx", "p", "j")).limit(most)
+    return drawn.join(neg.drop("n", "song_id"), ["case_idx", "k"]).select("case_idx", "p", "j", "pos", "neg")
 
 
 @dataclass
@@ -70,48 +82,122 @@ class Network:
     std: np.ndarray
     layers: list[tuple[np.ndarray, np.ndarray]]
 
-    def forward(self, x: np.ndarray) -> list[np.ndarray]:
-        acts = [(x - self.mean) / self.std]
+    def forward(self, x: np.ndarray, masks: list[np.ndarray] | None = None) -> list[np.ndarray]:
+        """The activations of each layer; `masks` scale those of the hidden ones (dropout)."""
+        acts = [((x - self.mean) / self.std).astype(self.layers[0][0].dtype)]
         for i, (w, b) in enumerate(self.layers):
             z = acts[-1] @ w + b
-            acts.append(np.maximum(z, 0) if i < len(self.layers) - 1 else z)
+            if i < len(self.layers) - 1:
+                z = np.maximum(z, 0) if masks is None else np.maximum(z, 0) * masks[i]
+            acts.append(z)
         return acts
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return self.forward(x)[-1][:, 0]
-
-
-def train(sample: DataFrame, moments: dict[str, tuple[float, float]], names: tuple[str, ...], seed: int, hidden: int = 32, epochs: int = 12, rate: float = 1e-3, decay: float = 1e-4, batch: int = 1024) -> Network:
-    """Minimise softplus(-(s_pos - s_neg)) by Adam with decoupled weight decay."""
-    at = [SCALARS.index(n) for n in names]
-    rows = sample.orderBy("case_idx", "p", "j").select("pos", "neg").toArrow()
-    shape = (rows.num_rows, len(SCALARS))
-    pos, neg = (np.array(rows[c].to_pylist(), float).reshape(shape)[:, at] for c in ("pos", "neg"))
+        return self.forward(x)[-1][:, 0].astype(float)
+
+    def slopes(self, acts: list[np.ndarray], g: np.ndarray, masks: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Gradients of the layers for the gradient `g` of the scores."""
+        grads = []
+        for i in range(len(self.layers) - 1, -1, -1):
+            grads.append((acts[i].T @ g, g.sum(axis=0)))
+            if i:
+                g = (g @ self.layers[i][0].T) * (acts[i] > 0) * masks[i - 1]
+        return grads[::-1]
+
+
+class Spill:
+    """All training rows in files of the driver, as float32 and in order: `arrays`, one for each column,
+    mapped into memory."""
+
+    def __init__(self, rows: DataFrame, columns: tuple[str, ...], order: tuple[str, ...]):
+        self.files = [tempfile.TemporaryFile() for _ in columns]
+        self.n, width = 0, len(FEATURES)
+        for batch in _batches(rows.orderBy(*order).select(*columns)):
+            self.n += batch.num_rows
+            for f, c in zip(self.files, batch.columns, strict=True):
+                f.write((c.flatten() if pa.types.is_list(c.type) else c).to_numpy(zero_copy_only=False).astype(np.float32).tobytes())
+        self.arrays = []
+        for f, field in zip(self.files, rows.select(*columns).schema, strict=True):
+            f.flush()
+            shape = (self.n, width) if field.dataType.typeName() == "array" else (self.n,)
+            self.arrays.append(np.memmap(f, np.float32, "r", shape=shape) if self.n else np.zeros(shape, np.float32))
+
+
+def _batches(rows: DataFrame) -> Iterator[pa.RecordBatch]:
+    """The rows as Arrow batches, one partition after the other, so that the driver holds one at a time."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema) as w:
+                w.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["b"])
+
+    for r in rows.mapInArrow(packed, "b binary").toLocalIterator():
+        yield from pa.ipc.open_stream(bytes(r.b))
+
+
+def spilled(sample: DataFrame, loss: str = "pairwise") -> Spill:
+    """What train() reads: of pairs() for the pairwise loss, of rows of features() for the other."""
+    if loss == "pairwise":
+        return Spill(sample, ("pos", "neg"), ("case_idx", "p", "j"))
+    rows = sample.select("case_idx", "song_id", F.array(*(F.col(n).cast("float") for n in FEATURES)).alias("x"), "label")
+    return Spill(rows, ("x", "label"), ("case_idx", "song_id"))
+
+
+def train(
+    sample: DataFrame | Spill,
+    moments: dict[str, tuple[float, float]],
+    names: tuple[str, ...],
+    seed: int,
+    hidden: int = 64,
+    epochs: int = 30,
+    rate: float = 1e-3,
+    decay: float = 1e-4,
+    batch: int = 4096,
+    dropout: float = 0.1,
+    loss: str = "pairwise",
+) -> Network:
+    """Minimise by Adam with decoupled weight decay: softplus(-(s_pos - s_neg)) over pairs ("pairwise"), or
+    the cross entropy of the labels, positives weighted by negatives over positives ("bce")."""
+    if loss not in ("pairwise", "bce"):
+        raise ValueError(f"no such loss: {loss}")
+    at = [FEATURES.index(n) for n in names]
+    data = sample if isinstance(sample, Spill) else spilled(sample, loss)
+    one, other = data.arrays
     rng = np.random.default_rng(seed)
     sizes = [len(names), hidden, max(1, hidden // 2), 1]
-    layers = [(rng.normal(0, (2 / a) ** 0.5, (a, b)), np.zeros(b)) for a, b in zip(sizes, sizes[1:], strict=False)]
+    layers = [(rng.normal(0, (2 / a) ** 0.5, (a, b)).astype(np.float32), np.zeros(b, np.float32)) for a, b in zip(sizes, sizes[1:], strict=False)]
     net = Network(names, np.array([moments[n][0] for n in names]), np.array([moments[n][1] for n in names]), layers)
+    positives = float(other.sum()) if loss == "bce" else 0.0
+    weight = (data.n - positives) / max(1.0, positives)
     first, second, t = [(0.0, 0.0)] * 3, [(0.0, 0.0)] * 3, 0
+
+    def masks(n: int) -> list[np.ndarray]:
+        return [(rng.random((n, size), np.float32) >= dropout).astype(np.float32) / np.float32(1 - dropout) for size in sizes[1:-1]]
+
     for _ in range(epochs):
-        order = rng.permutation(len(pos))
-        for lo in range(0, len(order), batch):
-            rows_at = order[lo : lo + batch]
-            a, b = net.forward(pos[rows_at]), net.forward(neg[rows_at])
-            slope = -1 / (1 + np.exp(np.clip(a[-1] - b[-1], -30, 30))) / len(rows_at)
-            grads = [(np.zeros_like(w), np.zeros_like(c)) for w, c in net.layers]
-            for acts, sign in ((a, 1.0), (b, -1.0)):
-                g = sign * slope
-                for i in range(len(net.layers) - 1, -1, -1):
-                    grads[i] = (grads[i][0] + acts[i].T @ g, grads[i][1] + g.sum(axis=0))
-                    if i:
-                        g = (g @ net.layers[i][0].T) * (acts[i] > 0)
+        order = rng.permutation(data.n)
+        for lo in range(0, data.n, batch):
+            rows_at = np.sort(order[lo : lo + batch])
+            n = len(rows_at)
+            ma = masks(n)
+            a = net.forward(one[rows_at][:, at], ma)
+            if loss == "pairwise":
+                mb = masks(n)
+                b = net.forward(other[rows_at][:, at], mb)
+                slope = -1 / (1 + np.exp(np.clip(a[-1] - b[-1], -30, 30))) / n
+                grads = [(x[0] + y[0], x[1] + y[1]) for x, y in zip(net.slopes(a, slope, ma), net.slopes(b, -slope, mb), strict=True)]
+            else:
+                y, p = other[rows_at][:, None], 1 / (1 + np.exp(-np.clip(a[-1], -30, 30)))
+                grads = net.slopes(a, ((1 - y) * p - weight * y * (1 - p)) / n, ma)
             t += 1
             for i, layer in enumerate(net.layers):
                 m = tuple(0.9 * x + 0.1 * g for x, g in zip(first[i], grads[i], strict=True))
                 s = tuple(0.999 * x + 0.001 * g * g for x, g in zip(second[i], grads[i], strict=True))
                 first[i], second[i] = m, s
                 step = [rate * (x / (1 - 0.9**t)) / (np.sqrt(y / (1 - 0.999**t)) + 1e-8) for x, y in zip(m, s, strict=True)]
-                net.layers[i] = (layer[0] * (1 - rate * decay) - step[0], layer[1] - step[1])
+                net.layers[i] = tuple((x * (1 - rate * decay) - d).astype(np.float32) for x, d in zip(layer, step, strict=True))
     return net
 
 

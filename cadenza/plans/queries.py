@@ -138,6 +138,10 @@ class Model:
     def content_ranked(self) -> DataFrame:
         return cand.ordered(self.content, self.pop, "content")
 
+    @cached_property
+    def knowledge(self) -> tuple[DataFrame, DataFrame]:
+        return _knowledge_vectors(self)
+
     @cached_property
     def with_emotion(self) -> DataFrame:
         """The prepared candidates with `lemon_norm`."""
@@ -514,13 +518,18 @@ def knowledge_texts(m: Model) -> DataFrame:
     return items.withColumn("kind", F.lit("item")).unionByName(lists.withColumn("kind", F.lit("playlist")))
 
 
-def _knowledge_scores(m: Model, dimensions: int = 32, features: int = 4000) -> DataFrame:
+def _knowledge_vectors(m: Model, dimensions: int = 32, features: int = 4000) -> tuple[DataFrame, DataFrame]:
+    """The vectors of the cases and of the items."""
     items = knowledge.item_texts(m.worded, m.song_profiles).select(F.concat(F.lit("i:"), "song_id").alias("id"), "text")
     lists = knowledge.playlist_texts(m.split, m.worded, m.song_profiles).select(F.concat(F.lit("u:"), F.col("case_idx").cast("string")).alias("id"), "text")
     encoded = _cut(content.tfidf(items.unionByName(lists), "id", features))
-    dense, _ = knowledge.svd(encoded, "id", dimensions)
+    dense = _cut(knowledge.svd(encoded, "id", dimensions)[0])
     users = dense.where("id like 'u:%'").select(F.substring("id", 3, 100).cast("int").alias("case_idx"), "vec")
-    return knowledge.dot_scores(m.pool, users, dense.where("id like 'i:%'").select(F.expr("substring(id, 3)").alias("song_id"), "vec"), "kar")
+    return users, dense.where("id like 'i:%'").select(F.expr("substring(id, 3)").alias("song_id"), "vec")
+
+
+def _knowledge_scores(m: Model) -> DataFrame:
+    return knowledge.dot_scores(m.pool, *m.knowledge, "kar")
 
 
 @whole_query
@@ -555,30 +564,34 @@ def lemon_svd_scores(m: Model) -> DataFrame:
     return emotion.emotion_scores(m.pool, users, long_).select("case_idx", "song_id", F.round("lemon", 6).alias("lemon"))
 
 
+def _features(m: Model) -> DataFrame:
+    return adapter.features(_with_all(m), m.split, *m.knowledge)
+
+
 @whole_query
 def adapter_features(m: Model) -> DataFrame:
-    return adapter.features(_with_all(m), m.split)
+    return _features(m)
 
 
 @whole_query
 def adapter_feature_stats(m: Model) -> DataFrame:
     """Mean and deviation of each feature over the training cases."""
-    rows = _cut(adapter.features(_with_all(m), m.split))
+    rows = _cut(_features(m))
     kept = rows.join(adapter.split_cases(rows, SEED).where("is_train"), "case_idx", "left_semi")
-    found = adapter.stats(kept, adapter.SCALARS)
+    found = adapter.stats(kept, adapter.FEATURES)
     return m.spark.createDataFrame([(n, float(a), float(b)) for n, (a, b) in found.items()], "feature string, mean double, std double")
 
 
 @whole_query
 def adapter_pairs(m: Model) -> DataFrame:
-    return adapter.pairs(_cut(adapter.features(_with_all(m), m.split)), SEED).select("case_idx", "p", "j")
+    return adapter.pairs(_cut(_features(m)), SEED).select("case_idx", "p", "j")
 
 
 def _adapter(m: Model, sets: dict[str, tuple[str, ...]]) -> DataFrame:
-    rows = _cut(adapter.features(_with_all(m), m.split))
+    rows = _cut(_features(m))
     cases = _cut(adapter.split_cases(rows, SEED))
     learned = rows.join(cases.where("is_train"), "case_idx", "left_semi")
-    moments, sample = adapter.stats(learned, adapter.SCALARS), _cut(adapter.pairs(learned, SEED))
+    moments, sample = adapter.stats(learned, adapter.FEATURES), adapter.spilled(adapter.pairs(learned, SEED))
     ranked = None
     for label, names in sets.items():
         own = adapter.rank(rows, adapter.train(sample, moments, names, SEED), label).select("variant", "case_idx", "song_id", "rank")
@@ -592,7 +605,7 @@ def _adapter(m: Model, sets: dict[str, tuple[str, ...]]) -> DataFrame:
 
 @whole_query
 def adapter_metrics(m: Model) -> DataFrame:
-    return _adapter(m, {"Adapter all": adapter.SCALARS})
+    return _adapter(m, {"Adapter all": adapter.FEATURES})
 
 
 @whole_query

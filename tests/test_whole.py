@@ -1,6 +1,10 @@
 """What a review found to be less than the whole job."""
 
-from cadenza.operators import split
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cadenza.operators import adapter, split
 from cadenza.plans.queries import QUERIES
 
 #: Has 1,211 eligible playlists.
@@ -17,3 +21,56 @@ def test_holdout_without_a_cap_keeps_every_case(spark):
 def test_queries_without_sql_have_every_case(spark):
     rows = QUERIES["knowledge_texts"](spark, SF).where("kind = 'playlist'")
     assert sorted(int(r.id) for r in rows.select("id").collect()) == list(range(1, 1212))
+
+
+@pytest.fixture(scope="module")
+def ranked(spark):
+    """40 cases of 25 candidates with vectors; what is held out follows from the first product."""
+    rng = np.random.default_rng(3)
+    scores = [(c, f"s{i}", *(float(z) for z in rng.random(5))) for c in range(40) for i in range(25)]
+    prepared = spark.createDataFrame(scores, "case_idx int, song_id string, cf_norm double, artist_norm double, pop_norm double, lemon_norm double, kar_norm double")
+    users = spark.createDataFrame([(c, [1.0, 0.5]) for c in range(40)], "case_idx int, vec array<double>")
+    items = spark.createDataFrame([(f"s{i}", [i / 25, 0.25]) for i in range(24)], "song_id string, vec array<double>")
+    truth = prepared.where("song_id in ('s21', 's22', 's23')").select("case_idx", "song_id", F.lit(False).alias("observed"))
+    return adapter.features(prepared, truth, users, items).persist()
+
+
+def test_adapter_has_all_features_and_sets(ranked):
+    assert len(adapter.FEATURES) == 44 and set(adapter.FEATURES) <= set(ranked.columns)
+    r = ranked.where("case_idx = 3 and song_id = 's10'").first()
+    assert (r.kar_product_0, r.kar_product_1, r.kar_product_2) == (0.4, 0.125, 0.0)
+    assert ranked.where("song_id = 's24' and kar_product_0 = 0").count() == 40
+    assert len(adapter.SETS) == 7 and adapter.SETS["Adapter all"] == adapter.FEATURES
+    assert set(adapter.KAR_PRODUCTS) <= set(adapter.SETS["Adapter CF + metadata + KAR vector"]) & set(adapter.SETS["Adapter semantic only"])
+
+
+def test_adapter_draws_every_pair(spark, ranked):
+    assert adapter.pairs(ranked, 1).count() == 40 * 3 * 20
+    # 120,000 pairs: more than 100,000
+    many = ranked.join(spark.range(50).select(F.col("id").alias("copy"))).withColumn("case_idx", (F.col("case_idx") + 1000 * F.col("copy")).cast("int")).drop("copy")
+    drawn = adapter.pairs(many, 1)
+    assert drawn.count() == 120_000 and drawn.select("case_idx", "p", "j").distinct().count() == 120_000
+
+
+@pytest.mark.parametrize("loss", ["pairwise", "bce"])
+def test_adapter_losses(ranked, loss):
+    sample = adapter.pairs(ranked, 1) if loss == "pairwise" else ranked
+    net = adapter.train(sample, adapter.stats(ranked, adapter.FEATURES), ("cf", "kar_product_0"), 1, hidden=16, epochs=60, rate=0.02, loss=loss)
+    best = adapter.rank(ranked, net, "v", top=3).select("song_id").distinct()
+    assert {r.song_id for r in best.collect()} == {"s21", "s22", "s23"}
+
+
+def test_adapter_gradients():
+    """Against finite differences, with dropout's masks held."""
+    rng = np.random.default_rng(0)
+    net = adapter.Network(("a", "b"), np.zeros(2), np.ones(2), [(rng.normal(size=s), rng.normal(size=s[1])) for s in ((2, 4), (4, 3), (3, 1))])
+    x, masks = rng.normal(size=(5, 2)), [rng.integers(0, 2, (5, n)) * 2.0 for n in (4, 3)]
+    grads = net.slopes(net.forward(x, masks), np.ones((5, 1)), masks)
+    for w, g in zip((y for layer in net.layers for y in layer), (y for layer in grads for y in layer), strict=True):
+        for i in np.ndindex(w.shape):
+            w[i] += 1e-6
+            up = net.forward(x, masks)[-1].sum()
+            w[i] -= 2e-6
+            down = net.forward(x, masks)[-1].sum()
+            w[i] += 1e-6
+            assert abs((up - down) / 2e-6 - g[i]) < 1e-5
