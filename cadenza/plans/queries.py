@@ -513,14 +513,14 @@ def cache_key_sha1(m: Model) -> DataFrame:
 
 @whole_query
 def knowledge_texts(m: Model) -> DataFrame:
-    items = knowledge.item_texts(m.worded, m.song_profiles).select(F.col("song_id").alias("id"), "text")
+    items = knowledge.item_texts(m.eval_songs, m.song_profiles).select(F.col("song_id").alias("id"), "text")
     lists = knowledge.playlist_texts(m.split, m.worded, m.song_profiles).select(F.col("case_idx").cast("string").alias("id"), "text")
     return items.withColumn("kind", F.lit("item")).unionByName(lists.withColumn("kind", F.lit("playlist")))
 
 
 def _knowledge_vectors(m: Model, dimensions: int = 32, features: int = 4000) -> tuple[DataFrame, DataFrame]:
     """The vectors of the cases and of the items."""
-    items = knowledge.item_texts(m.worded, m.song_profiles).select(F.concat(F.lit("i:"), "song_id").alias("id"), "text")
+    items = knowledge.item_texts(m.eval_songs, m.song_profiles).select(F.concat(F.lit("i:"), "song_id").alias("id"), "text")
     lists = knowledge.playlist_texts(m.split, m.worded, m.song_profiles).select(F.concat(F.lit("u:"), F.col("case_idx").cast("string")).alias("id"), "text")
     encoded = _cut(content.tfidf(items.unionByName(lists), "id", features))
     dense = _cut(knowledge.svd(encoded, "id", dimensions)[0])

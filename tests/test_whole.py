@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.operators import adapter, split
-from cadenza.plans.queries import QUERIES
+from cadenza.plans.queries import QUERIES, Whole
 
 #: Has 1,211 eligible playlists.
 SF = "/root/testdata/sf0.01"
@@ -74,3 +74,10 @@ def test_adapter_gradients():
             down = net.forward(x, masks)[-1].sum()
             w[i] += 1e-6
             assert abs((up - down) / 2e-6 - g[i]) < 1e-5
+
+
+def test_knowledge_texts_quote_the_documents(spark, sf_dir):
+    songs = {r.song_id: " ".join(r.lyrics.split()) for r in Whole(spark, sf_dir).eval_songs.collect()}
+    got = {r.id: r.text.split(". lyric evidence ", 1)[1] for r in QUERIES["knowledge_texts"](spark, sf_dir).where("kind = 'item'").collect()}
+    assert got.keys() == songs.keys() and any(got.values())
+    assert all(songs[k].startswith(x) and (x == songs[k] or len(x) >= 240) for k, x in got.items())
