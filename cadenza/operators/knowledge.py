@@ -16,7 +16,7 @@ from cadenza.operators.content import profile_bits
 from cadenza.operators.split import recent
 
 
-def item_texts(songs: DataFrame, profiles: DataFrame, chars: int = 240) -> DataFrame:
+def item_texts(songs: DataFrame, profiles: DataFrame, chars: int = 260) -> DataFrame:
     terms = profiles.select("song_id", F.array_join(profile_bits(first_value=False), " ").alias("terms"))
     text = F.format_string(
         "item factual knowledge. title %s. artist %s. semantic tags %s. lyric evidence %s", F.col("title"), F.col("artist"), F.coalesce("terms", F.lit("")), F.substring(squeeze(F.col("lyrics")), 1, chars)
@@ -32,7 +32,7 @@ def _most(rows: DataFrame, column: str, top: int, name: str) -> DataFrame:
     return best.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", column))), lambda x: x[column]), " ").alias(name))
 
 
-def playlist_texts(split: DataFrame, songs: DataFrame, profiles: DataFrame, window: int = 8) -> DataFrame:
+def playlist_texts(split: DataFrame, songs: DataFrame, profiles: DataFrame, window: int = 12) -> DataFrame:
     """case_idx, text: recent songs, frequent artists, and the labels of all and of the recent songs."""
     seen = split.where("observed").join(songs.select("song_id", "title", "artist"), "song_id")
     late = recent(split, window).join(songs.select("song_id", "title", "artist"), "song_id")

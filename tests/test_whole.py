@@ -1,9 +1,12 @@
 """What a review found to be less than the whole job."""
 
+from collections import Counter, defaultdict
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cadenza.functions import vocabulary as v
 from cadenza.operators import adapter, split
 from cadenza.plans.queries import QUERIES, Whole
 
@@ -81,3 +84,28 @@ def test_knowledge_texts_quote_the_documents(spark, sf_dir):
     got = {r.id: r.text.split(". lyric evidence ", 1)[1] for r in QUERIES["knowledge_texts"](spark, sf_dir).where("kind = 'item'").collect()}
     assert got.keys() == songs.keys() and any(got.values())
     assert all(songs[k].startswith(x) and (x == songs[k] or len(x) >= 240) for k, x in got.items())
+
+
+def test_knowledge_texts_by_brute_force(spark, sf_dir):
+    m = Whole(spark, sf_dir)
+    songs = {r.song_id: r for r in m.eval_songs.collect()}
+    terms = {}
+    for r in m.song_profiles.collect():
+        values = [(k, x) for k in v.KEYS for x in (r[k] if k in v.LIST_KEYS else [r[k]])]
+        values = [(k, (x or "").replace("_", " ").strip()) for k, x in values]
+        terms[r.song_id] = [t for k, x in values if x and x != "mixed" for t in (f"{k} {x}", x)]
+    want, cases = {}, defaultdict(list)
+    for k, s in songs.items():
+        want["item", k] = f"item factual knowledge. title {s.title}. artist {s.artist}. semantic tags {' '.join(terms[k])}. lyric evidence {' '.join(s.lyrics.split())[:260]}"
+    for r in sorted(m.split.where("observed").collect(), key=lambda r: r.rn):
+        cases[r.case_idx].append(r.song_id)
+    top = lambda xs, n: " ".join(x for x, _ in sorted(Counter(xs).items(), key=lambda c: (-c[1], c[0]))[:n])
+    for c, seen in cases.items():
+        late = seen[-12:]
+        names = "; ".join(f"{songs[k].title} by {songs[k].artist}" for k in late)
+        want["playlist", str(c)] = (
+            f"preference reasoning knowledge. recent observed songs {names}. frequent artists {top([songs[k].artist for k in seen], 5)}. "
+            f"long term semantic preferences {top([t for k in seen for t in terms[k]], 18)}. short term semantic intent {top([t for k in late for t in terms[k]], 12)}."
+        )
+    assert any(len(x) > 12 for x in cases.values())
+    assert {(r.kind, r.id): r.text for r in QUERIES["knowledge_texts"](spark, sf_dir).collect()} == want
