@@ -4,7 +4,9 @@ A page is parsed into a tree of blocks in one scan of its markup. Every block ge
 characters per tag; the block whose children's densities sum up highest holds the article. The lowest
 density on the path from the body down to it is the threshold by which blocks around it are taken in.
 Menus, headers, footers, sidebars, notices, adverts, forms and reader comments go by their element, role,
-class or id; scripts, styles and markup go anyway.
+class or id; scripts, styles and markup go anyway. A class or id alone doesn't remove what holds an article
+or main (unless it stands inside an article) nor, where no other article or main stands beside it, what holds
+most of the text.
 
 Defined results: null, empty and unparsable html give an empty text; unclosed and misnested elements end
 where HTML says that they end, at the latest with their parent; repeated rows are treated one by one;
@@ -16,6 +18,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,26 +56,91 @@ MARKS = frozenset(
 )
 #: Markup: comments, declarations, and tags with their attributes.
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+ATTR = re.compile(r"([^\s>/=]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPLIT = re.compile(r"[^a-z]+")
 ARTICLE = frozenset(("article", "main"))
 
 
-def beside(name: str, attrs: str) -> bool:
-    """Whether an element doesn't belong to the article, by what it says of itself."""
+def beside(name: str, attrs: str) -> str:
+    """What says of an element that it doesn't belong to the article: its "element", role or state, or only
+    its "class" or id; else nothing."""
     if name in ASIDE:
-        return True
+        return "element"
     if not attrs or name in ("body", "html"):
-        return False
+        return ""
+    own: dict[str, str] = {}
     for key, a, b, c in ATTR.findall(attrs):
-        key, value = key.lower(), (a or b or c).lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        if key == "role" and value in ROLES:
-            return True
-        if key in ("class", "id") and name not in ARTICLE and not MARKS.isdisjoint(SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", a or b or c).lower())):
-            return True
-    return False
+        own.setdefault(key.lower(), a or b or c)  # of attributes of one name the first counts
+    if "hidden" in own or own.get("aria-hidden", "").lower() == "true" or own.get("role", "").lower() in ROLES:
+        return "element"
+    if name not in ARTICLE:
+        for key in ("class", "id"):
+            if (value := own.get(key)) and not MARKS.isdisjoint(SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())):
+                return "class"
+    return ""
+
+
+class Outline:
+    """What elements of a page hold, by the place of their start tag, found in one scan."""
+
+    def __init__(self, page: str):
+        self.at: dict[int, tuple[int, int, int, int]] = {}  # characters, articles, articles and mains around, only articles around
+        self.chars = self.articles = 0  # outside of ASIDE
+        stack: list[tuple[str, int, int, int, int, int]] = []
+        open_: Counter[str] = Counter()
+        aside = 0
+
+        def close(depth: int) -> None:
+            nonlocal aside
+            while len(stack) > depth:
+                name, start, chars, articles, around, only = stack.pop()
+                open_[name] -= 1
+                aside -= name in ASIDE
+                self.at[start] = (self.chars - chars, self.articles - articles, around, only)
+
+        def end_open(names: frozenset | set, stops: frozenset | set) -> None:
+            for depth in range(len(stack) - 1, -1, -1):
+                if stack[depth][0] in names:
+                    return close(depth)
+                if stack[depth][0] in stops:
+                    return None
+
+        pos, end = 0, len(page)
+        while pos < end:
+            m = TAG.search(page, pos)
+            if not aside:
+                self.chars += sum(map(len, page[pos : m.start() if m else end].split()))
+            if m is None:
+                break
+            pos = m.end()
+            if m[2] is None:
+                continue
+            name = m[2].lower()
+            if m[1]:
+                if open_[name]:
+                    end_open({name}, frozenset() if name in BLOCK else BLOCK)
+                continue
+            if name in RAW:
+                stop = None if name == "head" else re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, pos)
+                pos = stop.end() if stop else pos if name in ("head", "noscript", "template") else end
+            if name in RAW or name in VOID or name in ("html", "body"):
+                continue
+            if name in ENDS:
+                end_open(*ENDS[name])
+            if name in BLOCK and open_["p"]:
+                end_open({"p"}, BLOCK)
+            around = (open_["article"] + open_["main"], open_["article"])
+            self.articles += name in ARTICLE and not aside
+            stack.append((name, m.start(), self.chars, self.articles, *around))
+            open_[name] += 1
+            aside += name in ASIDE
+        close(0)
+
+    def main_part(self, start: int) -> bool:
+        """Whether the element that starts there holds an article or main, or most of the text."""
+        chars, inside, around, only = self.at.get(start, (0, 0, 0, 0))
+        others = self.articles - inside - around
+        return inside > 0 and not only or 2 * chars > self.chars and others <= 0
 
 
 class Node:
@@ -96,6 +164,7 @@ def parse(page: str) -> tuple[Node, list[Node]]:
     links = order = 0
     text: list[str] | None = None
     skip: list[str] = []  # open elements inside one that is left out
+    outline: Outline | None = None
 
     def add(raw: str) -> None:
         nonlocal text, order
@@ -179,7 +248,12 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                 text.append(" ")
             node.tags += 1
             continue
-        if beside(name, m[3]):
+        why = beside(name, m[3])
+        if why == "class" and name not in VOID:
+            outline = outline or Outline(page)
+            if outline.main_part(m.start()):
+                why = ""
+        if why:
             if name not in VOID:
                 if name in BLOCK:
                     _end_paragraph(stack, close)
