@@ -10,7 +10,8 @@ distinct pairs of URL and time. The lists are broadcast only when they are count
 
 Defined results: a URL is lower-cased up to its path, without scheme, user, port, query, fragment, a final
 dot of the host and final slashes of the path; null or hostless URLs and captures without a time match
-nothing; entries that lack a key, a date or a known action are ignored; of entries of one day for one key
+nothing; keys of entries are normalised in the same way (lower case up to the path, no final dots of the host,
+no final slashes); entries that lack a key, a date or a known action are ignored; of entries of one day for one key
 a removal counts; repeated captures are evaluated one by one; other columns are ignored.
 """
 
@@ -24,10 +25,16 @@ BROADCAST_ROWS = 100_000
 ENTRY_SCHEMA = "list string, kind string, key string, day date, action string"
 
 
+def normal_key(key: Column) -> Column:
+    """The key of an entry as URLs are spelled out: host in lower case without final dots, path without final slashes."""
+    host, path = F.regexp_extract(F.trim(key), "^[^/]*", 0), F.regexp_extract(F.trim(key), "^[^/]*(.*)$", 1)
+    return F.concat(F.regexp_replace(F.lower(host), r"\.+$", ""), F.regexp_replace(path, "/+$", ""))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """list, kind, key, since, until: when an entry was active, from `since` to before `until` (null: still is)."""
     clean = (
-        entries.select("list", "kind", F.lower(F.trim("key")).alias("key"), F.col("day").cast("date").alias("day"), "action")
+        entries.select("list", "kind", normal_key(F.col("key")).alias("key"), F.col("day").cast("date").alias("day"), "action")
         .where("key != '' and day is not null and action in ('add', 'remove') and kind in ('domain', 'host', 'path')")
         .groupBy("list", "kind", "key", "day")
         .agg(F.max("action").alias("action"))
