@@ -7,8 +7,8 @@ word with the least a = c / exp(r (t - beta + 1)) is the sample. Two documents d
 with a probability equal to their generalised Jaccard similarity, sum of minima over sum of maxima.
 
 ln a is a continuous function of word and step, so the least ln a itself names the sample, and a draw is one
-minimum: an aggregate with a fixed-width buffer. The gamma variates come from quantile tables, with a finer
-table for the lower tail of c, from which minima over many words are taken.
+minimum: an aggregate with a fixed-width buffer. A gamma variate is minus the logarithm of a product of two
+uniform ones; r, c and beta take hashes of their own, so they are independent.
 
 Everything here is built from DataFrame functions. The texts are shuffled once, into ranges of doc_id;
 a range gets the first document of the range that follows, so that each document meets its successor.
@@ -21,73 +21,35 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.classic.column import Column as ClassicColumn
 
 from cadenza.llm.common import text_of, words_of
 
 SAMPLES = 72
 #: Draws that are made in one pass over the words.
-LOT = 24
+LOT = 18
 #: Documents in a range, on average, until there are MAX_RANGES of them.
-RANGE_ROWS, MAX_RANGES = 1024, 4096
-#: Cells of a quantile table, and tables for the lower tail of c; variates are interpolated within a cell.
-_CELLS, _LEVELS = 64, 4
+RANGE_ROWS, MAX_RANGES = 1024, 1 << 16
 EMPTY = 0xFFFF
 
 
-def gamma_quantiles(at: np.ndarray) -> np.ndarray:
-    """Quantiles of Gamma(2, 1), whose distribution function is 1 - (1 + x) exp(-x), by bisection."""
-    low, high = np.zeros(len(at)), np.full(len(at), 60.0)
-    for _ in range(200):
-        mid = (low + high) / 2
-        # for small x the series keeps the digits that 1 - (1 + x) exp(-x) loses
-        value = np.where(mid < 1e-3, mid**2 / 2 - mid**3 / 3, -np.expm1(-mid) - mid * np.exp(-mid))
-        below = value < at
-        low, high = np.where(below, mid, low), np.where(below, high, mid)
-    return (low + high) / 2
-
-
-def _cells(at: np.ndarray, of) -> np.ndarray:
-    """Values at the cells' lower ends, then the steps to their upper ends."""
-    low, high = of(gamma_quantiles(at[:-1])), of(gamma_quantiles(at[1:]))
-    return np.round(np.concatenate([low, high - low]), 6)
-
-
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """r by cell; ln c by cell, where each level divides the first cell of the one before."""
-    edge = np.clip(np.arange(_CELLS + 1) / _CELLS, 1e-5, 1 - 1e-5)
-    levels = [_cells(np.clip(np.arange(_CELLS + 1) / _CELLS, 1 / (4 * _CELLS), 1 - 1e-5) / float(_CELLS) ** k, np.log) for k in range(_LEVELS)]
-    return _cells(edge, lambda x: x), np.concatenate([*(x[:_CELLS] for x in levels), *(x[_CELLS:] for x in levels)])
+def _gamma(bits: Column) -> Column:
+    """A Gamma(2, 1) variate from the two halves of a hash."""
+    high, low = F.shiftrightunsigned(bits, 32), bits.bitwiseAND(F.lit((1 << 32) - 1))
+    return F.lit(64 * math.log(2)) - F.ln((high + F.lit(0.5)) * (low + F.lit(0.5)))
 
 
-def _literal(spark: SparkSession, values: np.ndarray) -> Column:
-    """One array literal, rather than an expression for each element."""
-    gateway = spark.sparkContext._gateway
-    array = gateway.new_array(gateway.jvm.double, len(values))
-    for i, v in enumerate(values):
-        array[i] = float(v)
-    return ClassicColumn(gateway.jvm.org.apache.spark.sql.functions.lit(array))
-
-
-def sample_exprs(spark: SparkSession, term: Column, log_weight: Column, samples: int) -> list[Column]:
+def sample_exprs(term: Column, log_weight: Column, samples: int) -> list[Column]:
     """ln a of a weighted word in each of `samples` draws; null where the weight is."""
-    r_table, c_table = (_literal(spark, t) for t in _tables())
-    cells = _CELLS.bit_length() - 1
     out = []
     for k in range(samples):
         x = F.xxhash64(term.bitwiseXOR(F.lit(k * 0x9E3779B97F4A7C15 % (1 << 63))))
-        bits = lambda at, n, x=x: F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << n) - 1))
-        level = [bits(cells * i, cells).cast("int") for i in range(_LEVELS)]
-        at = level[-1] + F.lit(_CELLS * (_LEVELS - 1))
-        for i in range(_LEVELS - 2, -1, -1):
-            at = F.when(level[i] > 0, level[i] + F.lit(_CELLS * i)).otherwise(at)
-        r_at = bits(24, cells).cast("int")
-        inside, beta = bits(30, 14) / F.lit(float(1 << 14)), bits(44, 20) / F.lit(float(1 << 20))
-        r = F.get(r_table, r_at) + inside * F.get(r_table, r_at + F.lit(_CELLS))
-        ln_c = F.get(c_table, at) + inside * F.get(c_table, at + F.lit(_CELLS * _LEVELS))
+        y = F.xxhash64(x)
+        r, ln_c = _gamma(x), F.ln(_gamma(y))
+        beta = F.shiftrightunsigned(F.xxhash64(y), 40) / F.lit(float(1 << 24))
         out.append(ln_c - r * (F.floor(log_weight / r + beta) + F.lit(1.0) - beta))
     return out
 
@@ -105,17 +67,20 @@ def runs_of(hashes: Column, starts: Column) -> Column:
     )
 
 
-def _range_of(key: Column, splits: list[int]) -> Column:
-    """The number of splits that are greater than the key, as a balanced tree of comparisons: ranges from
-    the largest keys (0) down."""
+def _numbers(values: list, kind: str) -> Column:
+    """An array literal of few nodes: Spark folds the text into one constant."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key >= F.lit(splits[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    return tree(0, len(splits))
+def _range_of(key: Column, splits: list[int]) -> Column:
+    """The number of splits that are greater than the key: ranges from the largest keys (0) down. `splits`
+    fall; the steps of a binary search are folded over, so the plan doesn't grow with their number."""
+    if not splits:
+        return F.lit(0)
+    steps = [1 << b for b in range(len(splits).bit_length() - 1, -1, -1)]
+    table = _numbers(splits, "long")
+    reach = lambda found, step: F.coalesce(F.get(table, found + step - 1) > key, F.lit(False))
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda found, step: F.when(reach(found, step), found + step).otherwise(found))
 
 
 def with_successor(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,7 +93,7 @@ def with_successor(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     splits: list[int] = []
     if ranges > 1:
         at = [i / ranges for i in range(1, ranges)]
-        found = src.agg(F.percentile_approx("ord", at, 100 * ranges).alias("q")).first().q
+        found = src.agg(F.percentile_approx("ord", at, 20 * ranges + 10_000).alias("q")).first().q
         splits = sorted(set(found), reverse=True)
     src = src.withColumn("range", _range_of(F.col("ord"), splits))
     # a row for each range: its first document
@@ -165,7 +130,7 @@ def signatures(rows: DataFrame, keys: list[str], text: str, samples: int = SAMPL
     size = -(-samples // lots)
     terms = terms.select(*keys, "term", "log_weight", F.explode(F.array(*map(F.lit, range(lots)))).alias("_lot"))
     terms = terms.select(*keys, F.xxhash64("term", "_lot").alias("term"), "log_weight", "_lot")
-    draws = sample_exprs(rows.sparkSession, F.col("term"), F.col("log_weight"), size)
+    draws = sample_exprs(F.col("term"), F.col("log_weight"), size)
     least = terms.groupBy(*keys, "_lot").agg(*(F.min(d).alias(f"_m{k}") for k, d in enumerate(draws)))
     names = F.array(
         *(
