@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -47,3 +48,69 @@ def test_odd_rows(spark):
     assert extract(pages.limit(0)).count() == 0
     assert extract_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
     assert len(extract_text("<p>" + "word " * 300_000)) == 5 * 300_000 - 1
+
+
+def renamed(page, *names):
+    for n in names:
+        page = re.sub(rf"<(/?){n}\b", r"<\1div", page)
+    return page
+
+
+@pytest.mark.parametrize("sf,names,bare,wrong", [("sf0.01", ("article",), True, 0), ("sf0.1", ("article",), True, 0), ("sf0.1", ("article",), False, 0), ("sf0.1", ("article", "nav", "footer"), True, 0.005)])
+def test_density_decides(sf, names, bare, wrong):
+    """Without `article`, classes and (last) all structural names the pages' articles are found by density."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table(f"/root/testdata/{sf}/pages.parquet")["html"].to_pylist()
+    other = [renamed(p, *names) for p in pages]
+    other = [p.replace(' class="ad"', "") for p in other] if bare else other
+    assert sum(extract_text(a) != extract_text(b) for a, b in zip(pages, other, strict=True)) <= wrong * len(pages)
+
+
+def test_without_densities_the_articles_are_lost(monkeypatch):
+    import pyarrow.parquet as pq
+
+    from cadenza.llm import html_extract
+
+    pages = [renamed(p, "article", "nav", "footer").replace(' class="ad"', "") for p in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()]
+    right = [extract_text(p) for p in pages]
+    monkeypatch.setattr(html_extract, "score", lambda nodes: None)
+    assert sum(a != extract_text(p) for a, p in zip(right, pages, strict=True)) > len(pages) / 2
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ('x<div class="content no-sidebar"><p>The long article, with all that it says.</p></div>', "The long article, with all that it says."),
+        ('<div id="main-with-comments"><p>The long article text.</p></div>', "The long article text."),
+        ('<div class="sidebar"><p>All of the text of this page.</p><p>And more of it.</p></div><p>x</p>', "All of the text of this page.\n\nAnd more of it."),
+        ("<article><header class=entry-header><h1>Title</h1></header><p>Text of the article.</p></article>", "Title\n\nText of the article."),
+        ("<form><h1>Title</h1><p>A page in a form, all of it.</p><input><button>go</button></form>", "Title\n\nA page in a form, all of it."),
+        ("<div><div><h2>One</h2><p>The first part of a story.</p></div><div><h2>Two</h2><p>The second part of it.</p></div></div><div><ul><li><a href=1>a</a><li><a href=2>b</a></ul></div>", "One\n\nThe first part of a story.\n\nTwo\n\nThe second part of it."),
+        ("<div>A text in lines,<br>not in paragraphs, as long as this,<br>or longer.</div><div><a href=x>home</a></div>", "A text in lines, not in paragraphs, as long as this, or longer."),
+        ("<p>a</p><p style='color:red;display: none'>no</p>", "a"),
+        ("<p>a <a class='share' href=x>word</a> b <span class='ad'>no</span></p>", "a word b"),
+        ("&#99999999999999; &#" + "9" * 5000 + "; &#" + "0" * 5000 + "65; &#xD800;", "� � A �"),
+    ],
+)
+def test_names_only_weigh(page, text):
+    assert extract_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a " * 350_000, "<a " * 350_000 + ">", "<a " * 350_000 + '"', "<" + "a" * 1_000_000 + '"', '<a href="' * 120_000, "<noscript>" * 100_000, "<noscript></noscriptx>" * 50_000,
+        "<b>" * 100_000 + "<div></div>" * 60_000, "<!" * 500_000, "<!--" * 250_000, "<" * 1_000_000, "<p " + 'a="' * 300_000 + ">x", "<div>" * 100_000 + "</p>" * 100_000, "<div class=sidebar>" * 50_000 + "x",
+    ],
+)
+def test_time_is_linear(page):
+    start = time.process_time()
+    extract_text(page)
+    assert time.process_time() - start < 3
+
+
+def test_unclosed_tags_in_a_second():
+    start = time.process_time()
+    assert extract_text("<a " * 350_000).startswith("<a <a")
+    assert time.process_time() - start < 1
