@@ -4,15 +4,20 @@
 2. Prefix filter. In any one order of all shingles, two sets that link share one of their first
    |x| - ceil(t |x|) + 1. The order here: a quarter of the shingles (by hash) first, the rarest leading,
    then the others by hash; so frequencies are needed, and shuffled, for that quarter only. Shingles travel
-   in packed blocks by range of their hash.
-3. Documents that share a shingle of their prefixes form clusters; each document travels to its cluster
-   once. Clusters of more than BLOCK documents are searched as pairs of blocks.
-4. T-occurrence search in a cluster: a document is the query against those that aren't linked yet. The
+   in packed blocks by range of their hash; a range that very frequent shingles fill is counted by rows
+   instead, with partial aggregates and a join that Spark can split.
+3. Documents that share a shingle of their prefixes form clusters; each document travels to a block of its
+   cluster once.
+4. T-occurrence search in a block: a document is the query against those that aren't linked yet. The
    short inverted lists are merged; what occurs often enough there is probed for in the long lists by
    binary search (DivideSkip), and documents that reach the required overlap link. Documents that have been
    linked leave the index and become queries themselves, so a group of copies takes few comparisons, and
    no link between different groups is missed.
-5. Links are joined into components.
+5. Clusters of more than a block: rounds of searches among a few documents of each group join the groups that
+   different blocks found of one family. Only documents with a prefix shingle that several groups hold can
+   still link; they are searched as pairs of blocks, but those of a cluster's largest group not among
+   themselves. So a family of any size takes work in proportion to its documents.
+6. Links are joined into components.
 
 Defined results: null or empty text, and text of white space only, has an empty set and links with nothing;
 with fewer words than a shingle takes, all words together are the one shingle; rows with one id are
@@ -22,7 +27,9 @@ documents of their own; a null id is greater than all others; an empty table giv
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +43,14 @@ from cadenza.llm.components import components
 
 #: Shingles whose hash is below this lead the order, by frequency.
 LEADING = np.uint64(1 << 62)
-#: Documents of a cluster that are searched at a time.
-BLOCK = 2048
+#: Documents, and characters of their texts, that are searched at a time.
+BLOCK, BLOCK_CHARS = 2048, 8 << 20
+#: Documents of a group that stand for it in a round.
+STAND_FOR = 16
 #: Shingles that a block's task holds, on average.
 BUCKET = 1 << 20
+#: Postings of short lists that are merged by a heap.
+HEAPED = 4096
 #: Words whose hashes a Python worker remembers.
 CACHE = 250_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
@@ -80,15 +91,16 @@ def prefix_length(n: np.ndarray | int, num: int, den: int):
 
 
 def _sets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """A row for each document: uid, doc_id, textid, n, lead (shingles that lead), digest of the set, and
-    the shingles that may be in its prefix."""
+    """A row for each document: uid, doc_id, textid, n, lead (shingles that lead), characters, digest of the
+    set, and the shingles that may be in its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, uid = Shingler(words), TaskContext.get().partitionId() << 36
         for batch in batches:
-            ns, leads, digests, packed = [], [], [], []
-            for text in batch.column(2):
-                s = shingle(text.as_py())
+            ns, leads, chars, digests, packed = [], [], [], [], []
+            for text in (x.as_py() for x in batch.column(2)):
+                s = shingle(text)
+                chars.append(len(text))
                 lead = int(np.searchsorted(s, LEADING))
                 ns.append(len(s))
                 leads.append(lead)
@@ -96,12 +108,12 @@ def _sets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 packed.append(s[: max(lead, prefix_length(len(s), num, den))].astype("<u8").tobytes() if len(s) else b"")
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(uid, uid + n), pa.int64()), batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(leads, pa.int64()), pa.array(digests, pa.binary()), pa.array(packed, pa.binary())],
-                names=["uid", "doc_id", "textid", "n", "lead", "digest", "shingles"],
+                [pa.array(range(uid, uid + n), pa.int64()), batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(leads, pa.int64()), pa.array(chars, pa.int64()), pa.array(digests, pa.binary()), pa.array(packed, pa.binary())],
+                names=["uid", "doc_id", "textid", "n", "lead", "chars", "digest", "shingles"],
             )
             uid += n
 
-    return text_batches(docs).mapInArrow(run, "uid long, doc_id long, textid long, n long, lead long, digest binary, shingles binary")
+    return text_batches(docs).mapInArrow(run, "uid long, doc_id long, textid long, n long, lead long, chars long, digest binary, shingles binary")
 
 
 def _blocks(bits: int):
@@ -126,7 +138,14 @@ def _blocks(bits: int):
     return run
 
 
-def _shared(bucket: pa.Table) -> pa.Table:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks as rows: uid, shingle."""
+    for batch in batches:
+        for shingles, uids in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(uids, "<i8")), pa.array(np.frombuffer(shingles, "<i8"))], names=["uid", "shingle"])
+
+
+def _counted(bucket: pa.Table) -> pa.Table:
     """The shingles of a range that several documents hold: uid, shingle, how many hold it."""
     s = np.frombuffer(b"".join(bucket["shingles"].to_pylist()), "<u8")
     who = np.frombuffer(b"".join(bucket["uids"].to_pylist()), "<i8")
@@ -138,50 +157,133 @@ def _shared(bucket: pa.Table) -> pa.Table:
     return pa.table({"uid": who[keep], "shingle": s[keep].view("<i8"), "held": held[keep].astype(np.int64)})
 
 
+def shared_shingles(sets: DataFrame, total: int) -> DataFrame:
+    """uid, shingle, held (documents that hold it) of the shingles that several hold; `total` of all.
+
+    Ranges of the hash have BUCKET shingles on average. A sample of a sixteenth tells which have more than
+    four times that, as very frequent shingles fall there: those are counted by rows. It decides on the way only."""
+    bits = max(6, (total // BUCKET).bit_length())
+    schema = "bucket int, shingles binary, uids binary"
+    blocks = sets.mapInArrow(_blocks(bits), schema)
+    size = F.octet_length("shingles") / 8
+    sampled = sets.where(F.pmod(F.xxhash64("uid"), F.lit(16)) == 0).mapInArrow(_blocks(bits), schema)
+    full = [r.bucket for r in sampled.groupBy("bucket").agg(F.sum(size).alias("n")).where(F.col("n") * 16 > 4 * BUCKET).select("bucket").collect()]
+    if not full:
+        return blocks.groupBy("bucket").applyInArrow(_counted, "uid long, shingle long, held long")
+    rest = blocks.where(~F.col("bucket").isin(full)).groupBy("bucket").applyInArrow(_counted, "uid long, shingle long, held long")
+    rows = blocks.where(F.col("bucket").isin(full)).mapInArrow(_rows, "uid long, shingle long")
+    counts = rows.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
+    return rest.unionByName(rows.join(counts, "shingle").select("uid", "shingle", "held"))
+
+
+class Index:
+    """Inverted lists of sets: the documents that hold shingle k, in ascending order, are the `count[k]` of
+    `posting` from `start[k]` on. Documents that are no longer wanted are taken out once they are half of all."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        _, self.lists = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_inverse=True)
+        self.owner = np.repeat(np.arange(len(sets)), self.sizes)
+        self.own = np.split(self.lists, np.cumsum(self.sizes)[:-1]) if len(sets) else []
+        self.free = self.sizes > 0
+        self.build()
+
+    def build(self) -> None:
+        held = self.free[self.owner]
+        owner, lists = self.owner[held], self.lists[held]
+        order = np.argsort(lists, kind="stable")
+        self.count = np.bincount(lists, minlength=int(self.lists.max(initial=-1)) + 1)
+        self.start = np.cumsum(self.count) - self.count
+        self.posting = owner[order]
+        self.built = self.left = int(self.free.sum())
+
+    def take(self, docs: list[int]) -> None:
+        self.free[docs] = False
+        self.left -= len(docs)
+        if 2 * self.left < self.built:
+            self.build()
+
+
+def heap_merge(lists: list[list[int]], least: int) -> dict[int, int]:
+    """Documents in at least `least` of the lists, and in how many: a heap of the lists' heads. Where the
+    smallest head is in too few, as many lists as can't matter without one more jump to the next head."""
+    heads = [(x[0], 0, i) for i, x in enumerate(lists)]
+    heapify(heads)
+    found: dict[int, int] = {}
+    while len(heads) >= least:
+        doc = heads[0][0]
+        popped = []
+        while heads and heads[0][0] == doc:
+            popped.append(heappop(heads))
+        to = doc + 1
+        if len(popped) >= least:
+            found[doc] = len(popped)
+        else:
+            while heads and len(popped) < least - 1:
+                popped.append(heappop(heads))
+            if not heads:
+                break
+            to = heads[0][0]
+        for _, at, i in popped:
+            own = lists[i]
+            at = bisect_left(own, to, at)
+            if at < len(own):
+                heappush(heads, (own[at], at, i))
+    return found
+
+
+def merge(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents in at least `least` of the short lists, ascending, and in how many. Few postings go through
+    the heap; of many each document is counted at once, which a heap of Python objects takes ten times as
+    long for. Both give the same."""
+    if sum(map(len, lists)) <= HEAPED:
+        found = heap_merge([x.tolist() for x in lists], least)
+        return np.fromiter(found.keys(), np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
+    times = np.bincount(np.concatenate(lists))
+    found = np.flatnonzero(times >= least)
+    return found, times[found]
+
+
 def search(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """Links (i, j) that connect exactly the sets which any chain of links connects: 100 t percent of
     overlap, by T-occurrence search with DivideSkip."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    _, lists, count = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(lists, kind="stable")  # in each list, documents in ascending order
-    posting, start = owner[order], np.cumsum(count) - count
-    own = np.split(lists, np.cumsum(sizes)[:-1]) if len(sets) else []
-    free = sizes > 0  # not linked to anything yet
+    index = Index(sets)
+    sizes, free = index.sizes, index.free
     links: list[tuple[int, int]] = []
     for seed in range(len(sets)):
         if not free[seed]:
             continue
-        free[seed] = False
+        index.take([seed])
         queue = [seed]
         for x in queue:
             n = int(sizes[x])
             need = -(-num * n // den)  # an overlap of less can't be enough for any size
-            mine = own[x][count[own[x]] > 1]
+            count = index.count[index.own[x]]
+            mine, count = index.own[x][count > 0], count[count > 0]
             if len(mine) < need:
                 continue
-            mine = mine[np.argsort(count[mine], kind="stable")]
+            order = np.argsort(count, kind="stable")
+            mine, count = mine[order], count[order]
             # the longest lists are only probed: of `need` occurrences, need - skipped must be in the others
-            skipped = min(need - 1, int(need / (0.01 * np.log2(max(2, count[mine[-1]])) + 1)))
-            short, long_ = mine[: len(mine) - skipped], mine[len(mine) - skipped :]
-            merged = np.concatenate([posting[start[k] : start[k] + count[k]] for k in short])
-            merged = merged[free[merged]]
-            found, times = np.unique(merged, return_counts=True)
-            ok = (times >= need - skipped) & (sizes[found] * den >= num * n) & (n * den >= num * sizes[found])
+            skipped = min(need - 1, int(need / (0.01 * np.log2(max(2, count[-1])) + 1)))
+            lists = [index.posting[a : a + k] for a, k in zip(index.start[mine].tolist(), count.tolist(), strict=True)]
+            cut = len(lists) - skipped
+            found, times = merge(lists[:cut], need - skipped)
+            ok = free[found] & (sizes[found] * den >= num * n) & (n * den >= num * sizes[found])
             found, times = found[ok], times[ok]
-            for i, k in enumerate(long_):
+            for i, docs in enumerate(lists[cut:], 1):
                 if not len(found):
                     break
-                docs = posting[start[k] : start[k] + count[k]]
                 at = np.minimum(np.searchsorted(docs, found), len(docs) - 1)
                 times = times + (docs[at] == found)
-                alive = times >= need - (len(long_) - i - 1)
+                # what is needed with the document's own size, less the lists that are still to come
+                alive = den * (times + skipped - i) >= num * (n + sizes[found] - times - skipped + i)
                 found, times = found[alive], times[alive]
-            linked = found[den * times >= num * (n + sizes[found] - times)]
-            free[linked] = False
-            for y in linked.tolist():
-                links.append((x, y))
-                queue.append(y)
+            linked = found[den * times >= num * (n + sizes[found] - times)].tolist()
+            links += [(x, y) for y in linked]
+            queue += linked
+            if linked:
+                index.take(linked)
     return links
 
 
@@ -196,6 +298,85 @@ def _cluster(words: int, num: int, den: int):
     return run
 
 
+def _parts(docs, chars):
+    """Blocks for so many documents and characters."""
+    return F.ceil(F.greatest(docs / BLOCK, chars / BLOCK_CHARS)).cast("int")
+
+
+def _place(parts):
+    return F.pmod(F.xxhash64("uid"), parts).cast("int")
+
+
+class Clusters:
+    """The search in the clusters. members: uid, root (cluster), chars; texts: uid, text; prefix: uid, shingle."""
+
+    def __init__(self, scratch: Scratch, members: DataFrame, texts: DataFrame, prefix: DataFrame, words: int, num: int, den: int):
+        self.scratch, self.members, self.texts, self.prefix = scratch, members, texts, prefix
+        self.find = _cluster(words, num, den)
+
+    def search(self, rows: DataFrame, *keys: str) -> DataFrame:
+        """Links (a, b) among the rows of equal keys."""
+        return rows.groupBy(*keys).applyInArrow(self.find, "a long, b long")
+
+    def groups(self, large: DataFrame, links: DataFrame) -> DataFrame:
+        """uid, root, chars, group of the members of large clusters."""
+        own = links.join(large.select(F.col("uid").alias("a")), "a", "left_semi")
+        found = components(own, self.scratch).select(F.col("node").alias("uid"), F.col("root").alias("group"))
+        rows = large.join(found, "uid", "left").withColumn("group", F.coalesce("group", "uid"))
+        return self.scratch.write(rows.select("uid", "root", "chars", "group"))
+
+    def links(self) -> DataFrame:
+        sized = self.members.groupBy("root").agg(_parts(F.count("*"), F.sum("chars")).alias("parts"))
+        dealt = self.members.join(sized, "root").withColumn("mine", _place(F.col("parts")))
+        links = self.scratch.write(self.search(dealt.join(self.texts, "uid").select("root", "mine", "uid", "text"), "root", "mine"))
+        if sized.where("parts > 1").isEmpty():
+            return links
+        large = self.scratch.write(dealt.where("parts > 1").select("uid", "root", "chars"))
+        groups = self.groups(large, links)
+        while True:
+            more, whole = self.round(groups)
+            if more.isEmpty():
+                break
+            links = links.unionByName(more)
+            groups = self.groups(large, links)
+            if whole:
+                break
+        return links.unionByName(self.rest(groups))
+
+    def round(self, groups: DataFrame) -> tuple[DataFrame, bool]:
+        """Links between groups of a cluster, by documents that stand for groups of several; and whether those
+        of each cluster were searched together."""
+        several = groups.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
+        one_in = F.ceil(F.col("n") / STAND_FOR)
+        chosen = groups.join(several, "group").where((F.col("n") <= STAND_FOR) | (F.pmod(F.xxhash64("uid", F.lit(1)), one_in) == 0) | (F.col("uid") == F.col("group")))
+        sized = chosen.groupBy("root").agg(_parts(F.count("*"), F.sum("chars")).alias("parts"), F.count_distinct("group").alias("groups")).where("groups > 1")
+        most = sized.agg(F.max("parts")).first()[0]
+        rows = chosen.join(sized, "root").withColumn("mine", _place(F.col("parts"))).join(self.texts, "uid")
+        links = self.search(rows.select("root", "mine", "uid", "text"), "root", "mine")
+        group_of = lambda c: groups.select(F.col("uid").alias(c), F.col("group").alias(f"group_{c}"))
+        fresh = links.join(group_of("a"), "a").join(group_of("b"), "b").where("group_a != group_b").select("a", "b")
+        return self.scratch.write(fresh), (most or 1) == 1
+
+    def rest(self, groups: DataFrame) -> DataFrame:
+        """Links between groups that may be left: of documents with a prefix shingle that several groups hold."""
+        held = self.prefix.join(groups.select("uid", "group"), "uid")
+        by_several = held.groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
+        open_ = self.scratch.write(groups.join(held.join(by_several.select("shingle"), "shingle", "left_semi").select("uid").distinct(), "uid", "left_semi"))
+        sizes = open_.groupBy("root", "group").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+        largest = sizes.groupBy("root").agg(
+            F.max_by("group", F.struct("n", "group")).alias("largest"), F.max(F.struct("n", "group", "chars")).alias("l"), F.sum("n").alias("n"), F.sum("chars").alias("chars")
+        )
+        plan = largest.select("root", "largest", _parts(F.col("l.n"), F.col("l.chars")).alias("m"), F.greatest(F.lit(1), _parts(F.col("n") - F.col("l.n"), F.col("chars") - F.col("l.chars"))).alias("k"))
+        inside = F.col("group") == F.col("largest")
+        rows = open_.join(plan, "root").withColumn("mine", F.when(inside, _place(F.col("m"))).otherwise(F.col("m") + _place(F.col("k"))))
+        every = F.sequence(F.lit(0), F.col("m") + F.col("k") - 1)
+        # two blocks of the largest group hold nothing that could link anew
+        others = F.filter(every, lambda x: ~inside | (x >= F.col("m")))
+        pairs = F.transform(others, lambda x: F.struct(F.least(x, F.col("mine")).alias("i"), F.greatest(x, F.col("mine")).alias("j")))
+        rows = rows.select("uid", "root", F.explode(pairs).alias("p")).select("uid", "root", "p.i", "p.j").join(self.texts, "uid")
+        return self.scratch.write(self.search(rows.select("root", "i", "j", "uid", "text"), "root", "i", "j"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, textid (hash of the text), n_shingles, component_id (the least doc_id of the group), and
     `leader`: whether the row is the one of its group with the least (doc_id, textid)."""
@@ -208,10 +389,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         sets.where("n > 0").groupBy("digest").agg(F.min("uid").alias("class"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "textid")).alias("least"), F.first("n").alias("n"), F.first("lead").alias("lead"))
     )
     # shingles that more than one class holds
-    total = sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
-    bits = max(6, (total // 8 // BUCKET).bit_length())
-    reps = sets.select("uid", "shingles").join(classes.select(F.col("class").alias("uid")), "uid", "left_semi")
-    shared = reps.mapInArrow(_blocks(bits), "bucket int, shingles binary, uids binary").groupBy("bucket").applyInArrow(_shared, "uid long, shingle long, held long")
+    total = (sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0) // 8
+    shared = shared_shingles(sets.select("uid", "shingles").join(classes.select(F.col("class").alias("uid")), "uid", "left_semi"), total)
     shared = shared.join(classes.select(F.col("class").alias("uid"), "n", "lead"), "uid")
     # the prefix: shingles that nobody else holds come first among those that lead
     leads = (F.col("shingle") >= 0) & (F.col("shingle") < int(LEADING))
@@ -224,18 +403,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     least = prefix.groupBy("shingle").agg(F.min("uid").alias("b"))
     clusters = scratch.write(components(prefix.join(least, "shingle").select(F.col("uid").alias("a"), "b").distinct(), scratch))
     # every clustered document, once, with its text
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("docs"))
-    members = (
-        clusters.join(sizes, "root")
-        .join(sets.select(F.col("uid").alias("node"), "doc_id", "textid"), "node")
-        .select(F.col("node").alias("uid"), "root", "docs", "doc_id", "textid")
-    )
-    texts = src.join(members.withColumnRenamed("doc_id", "m_doc").withColumnRenamed("textid", "m_text"), F.col("doc_id").eqNullSafe(F.col("m_doc")) & (F.col("textid") == F.col("m_text")))
-    blocks = F.ceil(F.col("docs") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("uid"), blocks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, F.col("mine")).alias("i"), F.greatest(k, F.col("mine")).alias("j")))
-    dealt = texts.withColumn("mine", mine).select("root", "uid", "text", F.explode(pairs).alias("p")).select("root", "uid", "text", "p.i", "p.j")
-    links = dealt.groupBy("root", "i", "j").applyInArrow(_cluster(words, num, den), "a long, b long")
+    members = scratch.write(clusters.join(sets.select(F.col("uid").alias("node"), "doc_id", "textid", "chars"), "node").select(F.col("node").alias("uid"), "root", "chars", "doc_id", "textid"))
+    ours = members.select("uid", F.col("doc_id").alias("m_doc"), F.col("textid").alias("m_text"))
+    texts = scratch.write(src.join(ours, F.col("doc_id").eqNullSafe(F.col("m_doc")) & (F.col("textid") == F.col("m_text"))).select("uid", "text"))
+    links = Clusters(scratch, members.select("uid", "root", "chars"), texts, prefix, words, num, den).links()
     groups = components(links, scratch)
     named = classes.select("digest", "class", "least").join(groups.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = named.groupBy("root").agg(F.min("least").alias("least"))

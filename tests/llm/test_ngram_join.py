@@ -117,3 +117,44 @@ def test_components(spark):
             root[b] = a
     got = components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"))
     assert {(r.node, r.root) for r in got.collect()} == {(i, find(i)) for i in list(root)}
+
+
+@pytest.mark.parametrize("least", [1, 3, 8])
+def test_heap_and_counting_agree(monkeypatch, least):
+    rng = np.random.default_rng(least)
+    for _ in range(30):
+        lists = [np.unique(rng.integers(0, 60, rng.integers(1, 40))) for _ in range(rng.integers(1, 12))]
+        got = []
+        for limit in (10**9, 0):
+            monkeypatch.setattr(ngram_join, "HEAPED", limit)
+            got.append([x.tolist() for x in ngram_join.merge(lists, least)])
+        assert got[0] == got[1]
+
+
+def test_full_ranges_are_counted_by_rows(spark, monkeypatch):
+    """Shingles of every document fill their ranges."""
+    rng = random.Random(5)
+    common = [rng.randrange(1 << 64) for _ in range(3)]
+    sets = [sorted({*common, *(rng.randrange(1 << 64) for _ in range(4)), rng.choice(common) ^ rng.randrange(3)}) for _ in range(600)]
+    df = spark.createDataFrame([(i, np.array(s, "<u8").tobytes()) for i, s in enumerate(sets)], "uid long, shingles binary")
+    total = sum(map(len, sets))
+    want = ngram_join.shared_shingles(df, total)
+    rows = sorted(map(tuple, want.collect()))
+    monkeypatch.setattr(ngram_join, "BUCKET", 64)
+    assert sorted(map(tuple, ngram_join.shared_shingles(df, total).collect())) == rows
+    counts = {}
+    for s in sets:
+        for x in s:
+            counts[x] = counts.get(x, 0) + 1
+    assert len(rows) == sum(n for n in counts.values() if n > 1)
+
+
+def test_long_text_and_large_family(spark, monkeypatch):
+    """A family of several blocks, each member near to some others only; a text of a million words."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 24)
+    rng = random.Random(9)
+    rows = list(enumerate(family(rng, 150, 80, 5)))
+    rows += [(1000 + i, t) for i, t in enumerate(family(rng, 60, 40, 9))] + [(2000, "long text " * 500_000), (2001, "Long  text " * 500_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = ngram_join.near_duplicates(docs, 4, 85, 100)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows, 4, 85, 100)
