@@ -7,8 +7,10 @@ word with the least a = c / exp(r (t - beta + 1)) is the sample. Two documents d
 with a probability equal to their generalised Jaccard similarity, sum of minima over sum of maxima.
 
 ln a is a continuous function of word and step, so the least ln a itself names the sample, and a draw is one
-minimum: an aggregate with a fixed-width buffer. A gamma variate is minus the logarithm of a product of two
-uniform ones; r, c and beta take hashes of their own, so they are independent.
+minimum: an aggregate with a fixed-width buffer. r decides whether two weights of one word give one step, so it is
+exact: minus the logarithm of a product of two uniform variates. c decides which word wins, by its lower tail
+when there are many; ln c is interpolated in a table of quantiles whose cells become finer towards 0 (a
+logarithm costs this query as much as all else in a draw). r, c and beta take bits of their own.
 
 Everything here is built from DataFrame functions. The texts are shuffled once, into ranges of doc_id;
 a range gets the first document of the range that follows, so that each document meets its successor.
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,26 +33,55 @@ from cadenza.llm.common import text_of, words_of
 
 SAMPLES = 72
 #: Draws that are made in one pass over the words.
-LOT = 18
+LOT = 24
 #: Documents in a range, on average, until there are MAX_RANGES of them.
 RANGE_ROWS, MAX_RANGES = 1024, 1 << 16
+#: Cells of the quantile table of ln c at each level; each level divides the first cell of the one before.
+_CELL_BITS, _LEVELS = 8, 3
+_CELLS = 1 << _CELL_BITS
 EMPTY = 0xFFFF
 
 
-def _gamma(bits: Column) -> Column:
-    """A Gamma(2, 1) variate from the two halves of a hash."""
-    high, low = F.shiftrightunsigned(bits, 32), bits.bitwiseAND(F.lit((1 << 32) - 1))
-    return F.lit(64 * math.log(2)) - F.ln((high + F.lit(0.5)) * (low + F.lit(0.5)))
+def gamma_quantiles(at: np.ndarray) -> np.ndarray:
+    """Quantiles of Gamma(2, 1), whose distribution function is 1 - (1 + x) exp(-x), by bisection."""
+    low, high = np.zeros(len(at)), np.full(len(at), 60.0)
+    for _ in range(200):
+        mid = (low + high) / 2
+        # for small x the series keeps the digits that 1 - (1 + x) exp(-x) loses
+        value = np.where(mid < 1e-3, mid**2 / 2 - mid**3 / 3, -np.expm1(-mid) - mid * np.exp(-mid))
+        below = value < at
+        low, high = np.where(below, mid, low), np.where(below, high, mid)
+    return (low + high) / 2
+
+
+def _table() -> np.ndarray:
+    """ln c at the cells' lower ends, level by level, then the steps to their upper ends."""
+    low, high = [], []
+    for k in range(_LEVELS):
+        # the last level's first cell begins at a quarter of its width, as ln 0 has no value
+        edge = np.clip(np.arange(_CELLS + 1) / _CELLS, 1 / (4 * _CELLS), 1 - 1e-5) / float(_CELLS) ** k
+        at = np.log(gamma_quantiles(edge))
+        low.append(at[:-1])
+        high.append(at[1:])
+    return np.round(np.concatenate([*low, *(h - x for h, x in zip(high, low, strict=True))]), 6)
 
 
 def sample_exprs(term: Column, log_weight: Column, samples: int) -> list[Column]:
     """ln a of a weighted word in each of `samples` draws; null where the weight is."""
+    table = _numbers(_table().tolist(), "double")
     out = []
     for k in range(samples):
         x = F.xxhash64(term.bitwiseXOR(F.lit(k * 0x9E3779B97F4A7C15 % (1 << 63))))
+        bits = lambda at, n, x=x: F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << n) - 1))
+        level = [bits(_CELL_BITS * i, _CELL_BITS).cast("int") for i in range(_LEVELS)]
+        at = level[-1] + F.lit(_CELLS * (_LEVELS - 1))
+        for i in range(_LEVELS - 2, -1, -1):
+            at = F.when(level[i] > 0, level[i] + F.lit(_CELLS * i)).otherwise(at)
+        inside, beta = bits(24, 16) / F.lit(float(1 << 16)), bits(40, 24) / F.lit(float(1 << 24))
+        ln_c = F.get(table, at) + inside * F.get(table, at + F.lit(_CELLS * _LEVELS))
         y = F.xxhash64(x)
-        r, ln_c = _gamma(x), F.ln(_gamma(y))
-        beta = F.shiftrightunsigned(F.xxhash64(y), 40) / F.lit(float(1 << 24))
+        u, v = F.shiftrightunsigned(y, 32) + F.lit(0.5), y.bitwiseAND(F.lit((1 << 32) - 1)) + F.lit(0.5)
+        r = F.lit(64 * math.log(2)) - F.ln(u * v)
         out.append(ln_c - r * (F.floor(log_weight / r + beta) + F.lit(1.0) - beta))
     return out
 
