@@ -53,3 +53,9 @@ def cache_key(*parts: Column) -> Column:
     quoted = [F.to_json(F.struct(F.coalesce(p.cast("string"), F.lit("")).alias("v"))) for p in parts]
     items = [F.regexp_extract(q, r'(?s)^\{"v":(.*)\}$', 1) for q in quoted]
     return F.sha1(F.concat(F.lit("["), F.concat_ws(", ", *items), F.lit("]")))
+
+
+def compact_key(*parts: Column) -> Column:
+    """SHA-1 of the parts, strings or arrays of strings, as a JSON array without spaces."""
+    as_json = lambda p: F.regexp_extract(F.to_json(F.struct(p.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    return F.sha1(F.concat(F.lit("["), F.concat_ws(",", *map(as_json, parts)), F.lit("]")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.operators.cf import DIGITS
-from cadenza.operators.split import recent
+from cadenza.operators.split import numbered, recent
 
 POOLS = (100, 200, 300, 400, 500)
 RATIOS = (0.25, 0.5, 0.75, 1.0)
@@ -54,7 +54,12 @@ def artist_candidates(split: DataFrame, songs: DataFrame, pop: DataFrame, window
     lately = recent(split, window).join(art, "song_id").groupBy("case_idx", "artist").agg(F.count("*").alias("n_recent"))
     counts = everywhere.join(lately, ["case_idx", "artist"], "left")
     seen = split.where("observed").select("case_idx", "song_id")
-    rows = counts.join(art, "artist").join(seen, ["case_idx", "song_id"], "left_anti").join(pop.select("song_id", "pop"), "song_id", "left")
+    # of an artist's items, which a case orders by popularity alone, only so many can be among its first `top`
+    longest = split.where("observed").groupBy("case_idx").agg(F.count("*").alias("n")).agg(F.max("n").alias("longest"))
+    place = F.row_number().over(Window.partitionBy("artist").orderBy(F.coalesce("pop", F.lit(0)).desc(), "song_id"))
+    best = art.join(pop.select("song_id", "pop"), "song_id", "left").withColumn("place", place)
+    best = best.join(F.broadcast(longest)).where(F.col("place") <= top + F.col("longest")).select("artist", "song_id", "pop")  # one row
+    rows = counts.join(best, "artist").join(seen, ["case_idx", "song_id"], "left_anti")
     score = 1000.0 * F.coalesce("n_recent", F.lit(0)) + 200.0 * F.col("n_all") + 0.001 * F.coalesce("pop", F.lit(0))
     order = Window.partitionBy("case_idx").orderBy(F.round("score", DIGITS).desc(), F.coalesce("pop", F.lit(0)).desc(), "song_id")
     return rows.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("case_idx", "song_id", "score", "rank")
@@ -115,3 +120,21 @@ def recall_grid(split: DataFrame, cf: DataFrame, artist: DataFrame, base: DataFr
 def md5_order(seed: int, *parts: Column) -> Column:
     """A seeded order that any engine reproduces."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(p.cast("string") for p in parts)))
+
+
+def random_catalog(split: DataFrame, songs: DataFrame, seed: int, top: int) -> DataFrame:
+    """case_idx, song_id, rank: the first `top` unobserved items of the catalog in a seeded order for each case.
+
+    The catalog has one seeded order, in which every case begins at a seeded place of its own and goes round: so a
+    case meets as many items as it observed and `top` more, not the catalog."""
+    order = numbered(songs.select("song_id", md5_order(seed, F.col("song_id")).alias("o")).orderBy("o", "song_id"))
+    order = order.select("song_id", F.col("case_idx").alias("place"))
+    n = order.count()
+    seen = split.where("observed").select("case_idx", "song_id")
+    cases = split.groupBy("case_idx").agg(F.count_if("observed").alias("n_seen"))
+    start = F.conv(F.substring(md5_order(seed, F.lit("start"), F.col("case_idx")), 1, 8), 16, 10).cast("long")
+    steps = F.sequence(F.lit(0).cast("long"), F.least(F.col("n_seen") + top, F.lit(max(n, 1))).cast("long") - 1)
+    walk = cases.select("case_idx", start.alias("start"), F.explode(steps).alias("step"))
+    rows = walk.withColumn("place", (F.pmod(F.col("start") + F.col("step"), F.lit(max(n, 1))) + 1).cast("int")).join(order, "place").join(seen, ["case_idx", "song_id"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy("case_idx").orderBy("step"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= top).select("case_idx", "song_id", "rank")

@@ -22,11 +22,14 @@ def popular(pop: DataFrame, top: int = 500) -> DataFrame:
 
 
 def cooccurrence(split: DataFrame) -> DataFrame:
-    """src, dst, n: cases that observed both, in either direction. Pairs are made within a case, whose
-    length the split bounds, and are summed up before they are shuffled."""
+    """src, dst, n: cases that observed both, in either direction. Pairs are made within a case, in one direction,
+    and are summed up before they are shuffled; only the sums are mirrored. A case gives pairs in proportion to the
+    square of its length."""
     seen = split.where("observed").select("case_idx", "song_id")
     pairs = seen.select("case_idx", F.col("song_id").alias("src")).join(seen.select("case_idx", F.col("song_id").alias("dst")), "case_idx")
-    return pairs.where("src != dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    once = pairs.where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    both = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return once.select(F.explode(both).alias("p"), "n").select("p.src", "p.dst", "n")
 
 
 def neighbors(split: DataFrame, top: int = 100) -> DataFrame:

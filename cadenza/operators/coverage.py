@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.functions.text import length_bin
+from cadenza.functions.text import length_bin, percent_text
 
 MATCHED_STEPS = (1, 5, 10, 20, 30, 50, 100)
 COVERAGE_STEPS = (0.1, 0.2, 0.3, 0.5, 0.7, 0.9, 1.0)
@@ -68,11 +68,24 @@ def histogram(lists: DataFrame, column: str) -> DataFrame:
     return bins.join(F.broadcast(most)).select("bin", "playlists", bar.alias("bar"))
 
 
-def filtered_rows(marked: DataFrame, which: str) -> DataFrame:
-    """The matched tracks of the playlists that pass a filter."""
+def filtered_rows(marked: DataFrame, which: str, whole: bool = False) -> DataFrame:
+    """The matched tracks of the playlists that pass a filter; `whole`: also the names of playlist and album,
+    empty where the tracks don't have them."""
     kept = per_playlist(marked).where(FILTERS[which])
-    return marked.where("matched").join(kept, "playlist_id").select(
-        "playlist_id", "original_track_count", "matched_song_count", "matched_coverage_percent", "pos", F.col("title").alias("track_name"), F.col("artist").alias("artist_name"), "song_id"
+    names = {"playlist_name": "name", "album_name": "album"} if whole else {}
+    more = {k: (F.coalesce(F.col(c), F.lit("")) if c in marked.columns else F.lit("")).alias(k) for k, c in names.items()}
+    rows = marked.where("matched").join(kept, "playlist_id")
+    return rows.select(
+        "playlist_id",
+        *([more["playlist_name"]] if whole else []),
+        "original_track_count",
+        "matched_song_count",
+        "matched_coverage_percent",
+        "pos",
+        F.col("title").alias("track_name"),
+        F.col("artist").alias("artist_name"),
+        *([more["album_name"]] if whole else []),
+        "song_id",
     )
 
 
@@ -82,3 +95,11 @@ def filter_totals(marked: DataFrame) -> DataFrame:
     rows = [F.struct(F.lit(k).alias("filter"), F.expr(c).alias("kept")) for k, c in FILTERS.items()]
     each = lists.select("matched_song_count", F.explode(F.array(*rows)).alias("f"))
     return each.groupBy("f.filter").agg(F.count_if("f.kept").alias("playlists"), F.sum(F.when(F.col("f.kept"), F.col("matched_song_count")).otherwise(0)).alias("n_rows"))
+
+
+def report(marked: DataFrame) -> DataFrame:
+    """Lines of the summary as text: what, how many, and the share of its whole as a percentage."""
+    one = summary(marked)
+    total = {"full_playlists": "total_playlists", "partial_playlists": "total_playlists", "zero_match_playlists": "total_playlists", "matched_tracks": "total_tracks", "unique_matched_tracks": "unique_tracks", "unique_missing_tracks": "unique_tracks"}
+    lines = [F.struct(F.lit(k).alias("line"), F.col(k).alias("n"), percent_text(F.col(k), F.col(t)).alias("share")) for k, t in total.items()]
+    return one.select(F.explode(F.array(*lines)).alias("x")).select("x.*")

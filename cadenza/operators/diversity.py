@@ -13,7 +13,7 @@ def playlist_stats(tracks: DataFrame, artist: str = "artist", dominated: float =
     share, distinct artists and tracks, and two flags. Repeated tracks count once."""
     one = (
         tracks.withColumn("a", normalized_artist(F.col(artist)))
-        .where("a != ''")
+        .where("a != '' and cast(playlist_id as string) != ''")
         .groupBy("playlist_id", "song_id")
         .agg(F.min(F.struct("pos", "a")).alias("x"), F.count("*").alias("rows"))
     )

@@ -282,3 +282,5 @@ def with_ctes(body: str) -> str:
 
 
 SQL: dict[str, str] = {name: with_ctes(body) for name, body in BODIES.items()}
+
+from cadenza.plans import more_oracles  # noqa: E402, F401  it adds its own

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -24,16 +25,34 @@ VARIANTS = {
 SEED = 172
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """The same rows from a checkpoint: plans stay small however many stages are composed. The folder is the
-    cluster's (spark.checkpoint.dir); where none is set and the master is local, one of this machine."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if own is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's folder (spark.checkpoint.dir); where none is set and the master is local, one of this machine."""
+    own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if own is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(own or "file://" + tempfile.mkdtemp(prefix="cadenza-"))
-    return df.checkpoint()
+        own = "file://" + tempfile.mkdtemp(prefix="cadenza-")
+        spark.conf.set("spark.checkpoint.dir", own)
+    return own.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder, deleted when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop)
+    fs.deleteOnExit(hadoop)
+    return path
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """The same rows from a table in the shared folder: plans stay small however many stages are composed, and
+    what reads the table reads its columns only."""
+    path = new_folder(df.sparkSession, "stage") + "/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Model:
@@ -611,3 +630,6 @@ def adapter_metrics(m: Model) -> DataFrame:
 @whole_query
 def adapter_ablation(m: Model) -> DataFrame:
     return _adapter(m, adapter.SETS)
+
+
+from cadenza.plans import more_queries  # noqa: E402, F401  it adds its own
