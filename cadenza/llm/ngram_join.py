@@ -298,6 +298,11 @@ def _cluster(words: int, num: int, den: int):
     return run
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the documents: not to be broadcast, however small it is here."""
+    return df.hint("merge")
+
+
 def _parts(docs, chars):
     """Blocks for so many documents and characters."""
     return F.ceil(F.greatest(docs / BLOCK, chars / BLOCK_CHARS)).cast("int")
@@ -328,7 +333,7 @@ class Clusters:
     def links(self) -> DataFrame:
         sized = self.members.groupBy("root").agg(_parts(F.count("*"), F.sum("chars")).alias("parts"))
         dealt = self.members.join(sized, "root").withColumn("mine", _place(F.col("parts")))
-        links = self.scratch.write(self.search(dealt.join(self.texts, "uid").select("root", "mine", "uid", "text"), "root", "mine"))
+        links = self.scratch.write(self.search(dealt.join(grown(self.texts), "uid").select("root", "mine", "uid", "text"), "root", "mine"))
         if sized.where("parts > 1").isEmpty():
             return links
         large = self.scratch.write(dealt.where("parts > 1").select("uid", "root", "chars"))
@@ -384,14 +389,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     scratch = Scratch(spark, "ngram-join")
     text = text_of(text_col)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("textid"), text.alias("text"))
-    sets = scratch.write(_sets(src, words, num, den))
+    wide = scratch.write(_sets(src, words, num, den))
+    sets = scratch.write(wide.drop("shingles"))
     classes = scratch.write(
         sets.where("n > 0").groupBy("digest").agg(F.min("uid").alias("class"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "textid")).alias("least"), F.first("n").alias("n"), F.first("lead").alias("lead"))
     )
     # shingles that more than one class holds
-    total = (sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0) // 8
-    shared = shared_shingles(sets.select("uid", "shingles").join(classes.select(F.col("class").alias("uid")), "uid", "left_semi"), total)
-    shared = shared.join(classes.select(F.col("class").alias("uid"), "n", "lead"), "uid")
+    total = (wide.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0) // 8
+    shared = shared_shingles(wide.select("uid", "shingles").join(grown(classes.select(F.col("class").alias("uid"))), "uid", "left_semi"), total)
+    shared = shared.join(grown(classes.select(F.col("class").alias("uid"), "n", "lead")), "uid")
     # the prefix: shingles that nobody else holds come first among those that lead
     leads = (F.col("shingle") >= 0) & (F.col("shingle") < int(LEADING))
     by_rank = F.struct(~leads, F.when(leads, F.col("held")), F.col("shingle"))
@@ -400,18 +406,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     length = F.col("n") + F.floor(-num * F.col("n") / den) + 1
     in_prefix = ~leads | (F.col("alone") + F.col("rank") <= length)
     prefix = scratch.write(shared.where(in_prefix).select("uid", "shingle"))
+    scratch.drop(wide)
     least = prefix.groupBy("shingle").agg(F.min("uid").alias("b"))
-    clusters = scratch.write(components(prefix.join(least, "shingle").select(F.col("uid").alias("a"), "b").distinct(), scratch))
+    clusters = scratch.write(components(prefix.join(grown(least), "shingle").select(F.col("uid").alias("a"), "b").distinct(), scratch))
     # every clustered document, once, with its text
     members = scratch.write(clusters.join(sets.select(F.col("uid").alias("node"), "doc_id", "textid", "chars"), "node").select(F.col("node").alias("uid"), "root", "chars", "doc_id", "textid"))
     ours = members.select("uid", F.col("doc_id").alias("m_doc"), F.col("textid").alias("m_text"))
-    texts = scratch.write(src.join(ours, F.col("doc_id").eqNullSafe(F.col("m_doc")) & (F.col("textid") == F.col("m_text"))).select("uid", "text"))
+    texts = scratch.write(src.join(grown(ours), F.col("doc_id").eqNullSafe(F.col("m_doc")) & (F.col("textid") == F.col("m_text"))).select("uid", "text"))
     links = Clusters(scratch, members.select("uid", "root", "chars"), texts, prefix, words, num, den).links()
     groups = components(links, scratch)
     named = classes.select("digest", "class", "least").join(groups.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = named.groupBy("root").agg(F.min("least").alias("least"))
     named = named.select("digest", "root").join(least, "root").select("digest", F.col("least"))
-    out = sets.select("uid", "doc_id", "textid", F.col("n").alias("n_shingles"), "digest").join(named, "digest", "left")
+    out = sets.select("uid", "doc_id", "textid", F.col("n").alias("n_shingles"), "digest").join(grown(named), "digest", "left")
     alone = F.col("least").isNull()
     return out.select(
         "doc_id",
