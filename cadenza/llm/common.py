@@ -89,7 +89,8 @@ def delete_folders(spark: SparkSession, folders: list[str]) -> None:
 
 
 class Scratch:
-    """Tables in the shared folder: each write cuts lineage and survives lost executors."""
+    """Tables in the shared folder: each write cuts lineage and survives lost executors. What results still
+    read then is deleted when the driver ends, if nobody has deleted it before."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -97,12 +98,16 @@ class Scratch:
         self.count = 0
         if (folders := _collecting.get()) is not None:
             folders.append(self.root)
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        self.fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def write(self, df: DataFrame) -> DataFrame:
         """Write `df` and return the table that was written."""
         self.count += 1
         path = f"{self.root}/{self.count}"
         df.write.option("compression", "zstd").parquet(path)
+        if self.count == 1:  # only what exists can be marked
+            self.fs.deleteOnExit(self.spark._jvm.org.apache.hadoop.fs.Path(self.root))
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         # Spark deletes the shuffle files of what was written when the driver collects its garbage

@@ -96,3 +96,26 @@ def test_overlapping_sources(spark):
     member = F.when(F.col("m") == 0, F.array(F.lit("a"))).when(F.col("m") == 1, F.array(F.lit("b"), F.lit("a"))).otherwise(F.array(F.lit("b")))
     rows = mixing.mix(docs, member, share=1.0, weights=(1, 1)).collect()
     assert sum(r.taken for r in rows) == pytest.approx(4000, abs=20)
+
+
+def test_zone_is_divided_until_it_is_small(spark, monkeypatch):
+    """Thousands of equal rows, small zones and small steps: the mix comes as near, and doesn't depend on partitions."""
+    rows = [(7, "a b c", "s")] * 1500 + [(i, "w " * (i % 9), "s") for i in range(600)] + [(5000 + i, "x y", "t") for i in range(300)] + [(9999, "long " * 200_000, "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = []
+    fill = mixing._fill
+
+    def run(parts):
+        out = mixing.mix(docs.repartition(parts), F.array("source"), seed=3).collect()
+        return sorted((r.doc_id, r["size"], r.source_size, r.target, r.taken) for r in out)
+
+    want = run(3)
+    monkeypatch.setattr(mixing, "ZONE", 16)
+    monkeypatch.setattr(mixing, "STEP", 4)
+    monkeypatch.setattr(mixing, "_fill", lambda zone: (sizes.append(zone.num_rows), fill(zone))[1])
+    got = run(3)
+    assert got == run(5)
+    for result in (want, got):
+        for size in {r[2] for r in result}:
+            own = [r for r in result if r[2] == size]
+            assert abs(sum(r[4] for r in own) - own[0][3]) <= max(r[1] for r in own if r[1] < 1000 or len(own) == 1) / 2 + 1
