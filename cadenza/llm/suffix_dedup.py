@@ -9,8 +9,8 @@ equal strings together without sorting the corpus as a whole:
    into classes of equal bytes; all windows of a class with two members or more are repeated.
 3. What stays open are anchors around which segments differ, the edges of repeated passages. One segment of
    each class travels to the anchor's block, and a block's text is sorted in two stages: suffixes that are
-   smaller than their successors are sorted directly, the others are induced from them by a scan of the
-   buckets; the common prefix of neighbours then tells which windows occur twice.
+   smaller than their successors are sorted directly, no others, and those are induced from them by a scan of
+   the buckets; the common prefixes of neighbours then tell which windows occur twice.
 
 Segments are compared by 64-bit hashes of anchor and content; both would have to collide. The counts are
 aggregates (combined before they are shuffled), and joins whose keys Spark can split; anchors with more than
@@ -43,7 +43,6 @@ CHUNK = 1 << 18
 DEALT = 1024
 #: Bytes of a block on average, and the bits for a place in it.
 BLOCK, BITS = 1 << 19, 21
-_MASK = np.uint64((1 << BITS) - 1)
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -127,54 +126,79 @@ def _anchors(length: int, gram: int):
     return run
 
 
-def _dense(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in order and the rank of each (from 1), from keys whose low bits are the places."""
-    keys = np.sort(keys)
-    order = (keys & _MASK).astype(np.int64)
-    above = keys >> np.uint64(BITS)
-    rank = np.empty(len(keys), np.uint64)
-    rank[order] = np.cumsum(np.r_[True, above[1:] != above[:-1]]).astype(np.uint64)
-    return order, rank
-
-
-def _ahead(rank: np.ndarray, by: int) -> np.ndarray:
-    """The rank of the suffix `by` places further on; 0 past the end."""
-    out = np.zeros_like(rank)
-    out[: max(0, len(rank) - by)] = rank[by:]
-    return out
-
-
-def suffix_array(text: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """The suffixes of a text in the order of their first `depth` bytes. Also ranks of the strings of
-    `step` bytes at all places, and the offsets that cover `depth`, to compare prefixes by."""
+class Words:
+    """Eight bytes of a text from any place on as one number, most significant first; 0 past the end."""
+
+    def __init__(self, text: np.ndarray):
+        self.n = len(text)
+        padded = np.concatenate([text.astype(np.uint64), np.zeros(8, np.uint64)])
+        self.at = np.zeros(self.n + 1, np.uint64)
+        for k in range(8):
+            self.at[: self.n] = (self.at[: self.n] << np.uint64(8)) | padded[k : k + self.n]
+
+    def __call__(self, places: np.ndarray, count: int = 8) -> np.ndarray:
+        """The first `count` bytes of each word."""
+        words = self.at[np.minimum(places, self.n)]
+        return words if count >= 8 else words >> np.uint64(64 - 8 * count)
+
+
+def sort_directly(words: Words, places: np.ndarray, depth: int) -> np.ndarray:
+    """Places in the order of the `depth` bytes from them on: by eight bytes, then what is tied by five at a time,
+    which with the number of its group make one sort key."""
+    key = words(places, depth)
+    by = np.argsort(key)
+    places, key = places[by], key[by]
+    group, done = np.cumsum(np.r_[True, key[1:] != key[:-1]][: len(places)]).astype(np.uint64), 8
+    tied = _tied(group)
+    while done < depth and len(tied):
+        own = group[tied]
+        dense = np.cumsum(np.r_[True, own[1:] != own[:-1]]).astype(np.uint64)
+        key = (dense << np.uint64(40)) | words(places[tied] + done, min(5, depth - done))
+        by = np.argsort(key)
+        places[tied], key = places[tied][by], key[by]
+        group[tied] = own = np.cumsum(np.r_[True, key[1:] != key[:-1]]).astype(np.uint64)
+        tied = tied[_tied(own)]
+        done += 5
+    return places
+
+
+def _tied(group: np.ndarray) -> np.ndarray:
+    """Where neighbours are of one group."""
+    same = group[1:] == group[:-1]
+    return np.flatnonzero(np.r_[False, same] | np.r_[same, False]) if len(group) > 1 else np.empty(0, np.int64)
+
+
+def common_prefixes(words: Words, order: np.ndarray, depth: int) -> np.ndarray:
+    """How many bytes, up to `depth`, each suffix has in common with the one before it in the order; past the end
+    stand zeros, as in the order."""
+    a, b = order[:-1], order[1:]
+    out = np.full(len(a), depth, np.int64)
+    alive, done = np.arange(len(a)), 0
+    while done < depth and len(alive):
+        x = words(a[alive] + done) ^ words(b[alive] + done)
+        differ = x != 0
+        equal = sum((x >> np.uint64(64 - 8 * j) == 0).astype(np.int64) for j in range(1, 8))
+        out[alive[differ]] = done + equal[differ]
+        alive = alive[~differ]
+        done += 8
+    return np.minimum(out, depth)
+
+
+def suffix_array(text: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffixes of a text in the order of their first `depth` bytes, what each has in common with the one
+    before it (up to `depth`), and the places of those that were sorted directly."""
     n = len(text)
     if n >= 1 << BITS:
         raise ValueError("a block is too long")
-    places = np.arange(n, dtype=np.uint64)
-    padded = np.concatenate([text.astype(np.uint64), np.zeros(5, np.uint64)])
-    word = np.zeros(n, np.uint64)
-    for k in range(5):
-        word = (word << np.uint64(8)) | padded[k : k + n]
-    _, rank = _dense((word << np.uint64(BITS)) | places)
-    step = 5
-    while step * 2 <= min(40, depth):
-        _, rank = _dense((rank << np.uint64(2 * BITS)) | (_ahead(rank, step) << np.uint64(BITS)) | places)
-        step *= 2
-    offsets = sorted({*range(0, depth - step + 1, step), max(0, depth - step)})
+    words = Words(text)
 
     # a suffix is smaller than its successor where the next different byte is larger; the last is larger
     change = np.flatnonzero(np.r_[text[1:] != text[:-1], True]) if n else np.empty(0, np.int64)
     rises = np.r_[text[change[:-1]] < text[change[:-1] + 1], False] if n else np.empty(0, bool)
     smaller = np.repeat(rises, np.diff(np.r_[-1, change]))
 
-    # first stage: those are sorted directly
-    direct = np.flatnonzero(smaller)
-    own = rank[direct]
-    order = np.argsort(own, kind="stable")
-    index = np.arange(len(direct), dtype=np.uint64)
-    for by in offsets[1:] or [0]:
-        order, own = _dense((own << np.uint64(2 * BITS)) | (_ahead(rank, by)[direct] << np.uint64(BITS)) | index)
-    direct = direct[order]
+    # first stage: those are sorted directly, and no other
+    direct = sort_directly(words, np.flatnonzero(smaller), depth)
 
     # second stage: a scan of the buckets, by first byte, induces the others from them
     first_byte = text[direct]
@@ -208,7 +232,8 @@ def suffix_array(text: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.
         if len(own_part):
             out.append(own_part)
             induce(own_part, bucket)
-    return (np.concatenate(out) if out else np.empty(0, np.int64)), rank, offsets
+    order = np.concatenate(out) if out else np.empty(0, np.int64)
+    return order, common_prefixes(words, order, depth), direct
 
 
 def repeated_windows(parts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
@@ -216,17 +241,15 @@ def repeated_windows(parts: list[bytes], length: int = LENGTH) -> list[np.ndarra
     text = np.frombuffer(b"\0".join(parts), np.uint8)
     sizes = np.array([len(p) for p in parts], np.int64)
     starts = np.cumsum(sizes + 1) - sizes - 1
-    order, rank, offsets = suffix_array(text, length)
+    order, common, _ = suffix_array(text, length)
     whole = np.zeros(len(text) + 1, np.int64)  # windows that don't reach over the end of their string
     np.add.at(whole, starts, 1)
     np.add.at(whole, starts + np.maximum(sizes - length + 1, 0), -1)
     whole = np.cumsum(whole)[:-1] > 0
-    order = order[whole[order]]
-    # neighbours with a common prefix of `length` bytes
-    same = np.ones(max(0, len(order) - 1), bool)
-    for by in offsets:
-        there = rank[order + by]
-        same &= there[1:] == there[:-1]
+    at = np.flatnonzero(whole[order])
+    order = order[at]
+    # what neighbours among them have in common is the least of what lies between
+    same = np.minimum.reduceat(common[: at[-1]], at[:-1]) >= length if len(at) > 1 else np.empty(0, bool)
     twice = np.zeros(len(text), bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True

@@ -79,3 +79,33 @@ def test_passages(spark, monkeypatch, dealt):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.remove_repeats(docs).count() == 0
+
+
+def test_two_stages_and_common_prefixes():
+    """Only suffixes that are smaller than their successors are sorted directly; neighbours' common prefixes."""
+    rng = np.random.default_rng(4)
+    for trial in range(60):
+        n = int(rng.integers(1, 300))
+        text = rng.integers(0, int(rng.integers(1, 5)), n).astype(np.uint8)
+        if trial % 3 == 0:
+            text = np.tile(text[: n // 4 + 1], 4)[:n]
+        depth = int(rng.integers(5, 40))
+        order, common, direct = suffix_dedup.suffix_array(text, depth)
+        raw = text.tobytes()
+        assert sorted(direct.tolist()) == [i for i in range(n - 1) if raw[i:] < raw[i + 1 :]]
+        padded = raw + b"\0" * depth
+
+        def shared(a, b):
+            return next((k for k in range(depth) if padded[a + k : a + k + 1] != padded[b + k : b + k + 1]), depth)
+
+        assert common.tolist() == [shared(a, b) for a, b in zip(order[:-1].tolist(), order[1:].tolist(), strict=True)]
+
+
+def test_repeated_windows_of_long_repeats():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        base = rng.integers(97, 100, 400, dtype=np.uint8).tobytes()
+        parts = [base[rng.integers(0, 100) : rng.integers(250, 400)] + rng.integers(97, 100, int(rng.integers(0, 60)), dtype=np.uint8).tobytes() for _ in range(6)]
+        count = collections.Counter(p[i : i + 200] for p in parts for i in range(len(p) - 199))
+        for p, hit in zip(parts, suffix_dedup.repeated_windows(parts, 200), strict=True):
+            assert hit.tolist() == [count[p[i : i + 200]] > 1 for i in range(len(p) - 199)]
