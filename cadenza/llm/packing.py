@@ -10,7 +10,8 @@ children makes at most FANOUT joins, for which the FANOUT emptiest other bins of
 hosts in one round, and FANOUT for each round above. All others are emitted as they are.
 
 Defined results: a null or empty text is the one end token; an empty table gives no rows; repeated rows
-are packed one by one; other columns are ignored. Any division into partitions gives a valid packing; the
+are packed one by one; other columns are ignored; a text of any length is encoded and cut as a whole, so memory
+is bounded by the longest one; of equal lengths the earlier piece is packed first. Any division into partitions gives a valid packing; the
 leaves' result is written to the shared folder before the tree reads it, so that a lost executor can't mix
 two different packings.
 """

@@ -7,7 +7,8 @@ expression, so that scoring the corpus needs no Python.
 
 Defined results: null and empty texts have all statistics 0 and are scored like any other; without labels
 of both classes the score is the share of label 1 (0.5 where there are none); labels that are null are not
-used, repeated labels count repeatedly; repeated documents are scored one by one; other columns are ignored.
+used, repeated labels count repeatedly; repeated documents are scored one by one; other columns are ignored;
+texts of any length are measured whole.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ Defined results: a URL is lower-cased up to its path, without scheme, user, port
 dot of the host and final slashes of the path; null or hostless URLs and captures without a time match
 nothing; keys of entries are normalised in the same way (lower case up to the path, no final dots of the host,
 no final slashes); entries that lack a key, a date or a known action are ignored; of entries of one day for one key
-a removal counts; repeated captures are evaluated one by one; other columns are ignored.
+a removal counts; repeated captures are evaluated one by one; other columns are ignored; a URL of any length is
+spelled out whole, in as many keys as its host and path have parts.
 """
 
 from __future__ import annotations
