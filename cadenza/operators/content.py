@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,16 +51,63 @@ def tfidf(texts: DataFrame, key: str = "song_id", features: int = 6000) -> DataF
     return unit(weighted.select(key, "feature", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("value")), key)
 
 
+#: Cases and songs that meet in one product of matrices.
+CASES, SONGS = 512, 1024
+
+
+def _best(width: int, top: int):
+    """The best songs of a block for the cases of a block: one matrix product."""
+
+    def dense(ats: pa.ChunkedArray, values: pa.ChunkedArray) -> np.ndarray:
+        ats, values = ats.combine_chunks(), values.combine_chunks()
+        out = np.zeros((len(ats), width))
+        rows = np.repeat(np.arange(len(ats)), np.diff(ats.offsets.to_numpy()))
+        out[rows, ats.flatten().to_numpy()] = values.flatten().to_numpy()
+        return out
+
+    def run(cases: pa.Table, songs: pa.Table) -> pa.Table:
+        case, song, score = [], [], []
+        if cases.num_rows and songs.num_rows:
+            songs = songs.sort_by("song_id")  # of equal scores the first id counts
+            names = np.array(songs["song_id"].to_pylist(), object)
+            place = {n: i for i, n in enumerate(names)}
+            product = dense(cases["at"], cases["value"]) @ dense(songs["at"], songs["value"]).T
+            for who, total, seen, row in zip(cases["case_idx"].to_pylist(), cases["total"].to_pylist(), cases["seen"].to_pylist(), product, strict=True):
+                row = row / total
+                row[[place[s] for s in seen if s in place]] = 0
+                found = np.argsort(-np.round(row, DIGITS), kind="stable")[:top]
+                found = found[row[found] > 0]
+                case.append(np.full(len(found), who))
+                song.append(names[found])
+                score.append(row[found])
+        join = lambda x: np.concatenate(x) if x else np.empty(0)
+        return pa.table({"case_idx": pa.array(join(case), pa.int32()), "song_id": pa.array(join(song), pa.string()), "content": pa.array(join(score), pa.float64())})
+
+    return run
+
+
 def content_scores(split: DataFrame, vectors: DataFrame, window: int = 10, top: int = 500) -> DataFrame:
     """case_idx, song_id, content, content_rank: unobserved items by similarity to the weighted mean of the
-    observed ones (the last `window` twice)."""
+    observed ones (the last `window` twice).
+
+    Blocks of cases meet blocks of songs in matrix products, of which only each case's best `top` come out; so no
+    row is made for a pair of case and song. The number of features is bounded by the encoder that made them."""
     late = recent(split, window).select("case_idx", "song_id", F.lit(2.0).alias("w"))
     seen = split.where("observed").select("case_idx", "song_id")
     weights = seen.join(late, ["case_idx", "song_id"], "left").withColumn("w", F.coalesce("w", F.lit(1.0)))
     have = weights.join(vectors.select("song_id").distinct(), "song_id", "left_semi")
     total = have.groupBy("case_idx").agg(F.sum("w").alias("total"))
-    profile = have.join(vectors, "song_id").groupBy("case_idx", "feature").agg(F.sum(F.col("w") * F.col("value")).alias("p"))
-    scores = profile.join(vectors, "feature").groupBy("case_idx", "song_id").agg(F.sum(F.col("p") * F.col("value")).alias("s"))
-    new = scores.join(seen, ["case_idx", "song_id"], "left_anti").join(total, "case_idx").select("case_idx", "song_id", (F.col("s") / F.col("total")).alias("content")).where("content > 0")
+    features = [r.feature for r in vectors.select("feature").distinct().orderBy("feature").collect()]
+    place = F.broadcast(split.sparkSession.createDataFrame(list(enumerate(features)), "at int, feature string"))  # one row for each feature
+    placed = vectors.join(place, "feature").select("song_id", "at", "value")
+    row = lambda df, key: df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("x")).select(key, F.col("x.at").alias("at"), F.col("x.value").alias("value"))
+    profile = have.join(placed, "song_id").groupBy("case_idx", "at").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+    cases = row(profile, "case_idx").join(total, "case_idx").join(seen.groupBy("case_idx").agg(F.collect_set("song_id").alias("seen")), "case_idx")
+    songs = row(placed, "song_id")
+    case_blocks, song_blocks = -(-split.select("case_idx").distinct().count() // CASES), -(-vectors.select("song_id").distinct().count() // SONGS)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
+    cases = cases.withColumn("c", F.pmod(F.xxhash64("case_idx"), F.lit(max(case_blocks, 1))).cast("int")).withColumn("s", every(song_blocks))
+    songs = songs.withColumn("s", F.pmod(F.xxhash64("song_id"), F.lit(max(song_blocks, 1))).cast("int")).withColumn("c", every(case_blocks))
+    best = cases.groupBy("c", "s").cogroup(songs.groupBy("c", "s")).applyInArrow(_best(max(len(features), 1), top), "case_idx int, song_id string, content double")
     rank = F.row_number().over(Window.partitionBy("case_idx").orderBy(F.round("content", DIGITS).desc(), "song_id"))
-    return new.withColumn("content_rank", rank).where(F.col("content_rank") <= top)
+    return best.withColumn("content_rank", rank).where(F.col("content_rank") <= top)

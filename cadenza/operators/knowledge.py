@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,23 +52,33 @@ def playlist_texts(split: DataFrame, songs: DataFrame, profiles: DataFrame, wind
     return parts.select("case_idx", text.alias("text"))
 
 
-#: Passes over the rows, columns beyond those asked for, and tasks of a pass (each sends one matrix of
-#: features by columns to the driver).
-PASSES, OVERSAMPLE, TASKS = 4, 10, 64
+#: Passes over the rows, columns beyond those asked for, matrices (features by columns) that reach the driver in
+#: a pass, and rows that are multiplied at a time.
+PASSES, OVERSAMPLE, SUMS, ROWS = 4, 10, 64, 512
 
 
 def _gram_times(rows: DataFrame, base: np.ndarray) -> np.ndarray:
-    """X'X times `base`, for sparse rows (at, value)."""
+    """X'X times `base`, for sparse rows (at, value): summed up in each task, then in SUMS groups of tasks."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros_like(base)
-        for b in batches:
-            for at, value in zip(b.column(0), b.column(1), strict=True):
-                i, x = np.array(at.as_py()), np.array(value.as_py())
-                total[i] += np.outer(x, x @ base[i])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                ats, values = (batch.column(i).slice(lo, ROWS) for i in (0, 1))
+                n = np.array([len(x) for x in ats])
+                at, x = ats.flatten().to_numpy(), values.flatten().to_numpy()[:, None]
+                who = np.repeat(np.arange(len(n)), n)
+                product = np.zeros((len(n), base.shape[1]))
+                np.add.at(product, who, x * base[at])
+                np.add.at(total, at, x * product[who])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUMS], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "total"])
 
-    return sum((np.frombuffer(r.total).reshape(base.shape) for r in rows.mapInArrow(partial, "total binary").collect()), np.zeros_like(base))
+    def add(parts: pa.Table) -> pa.Table:
+        total = sum((np.frombuffer(x.as_py()) for x in parts["total"]), np.zeros(base.size))
+        return pa.table({"total": pa.array([total.tobytes()], pa.binary())})
+
+    sums = rows.mapInArrow(partial, "part int, total binary").groupBy("part").applyInArrow(add, "total binary")
+    return sum((np.frombuffer(r.total).reshape(base.shape) for r in sums.collect()), np.zeros_like(base))
 
 
 def svd(vectors: DataFrame, key: str, dimensions: int) -> tuple[DataFrame, list[float]]:
@@ -77,7 +88,7 @@ def svd(vectors: DataFrame, key: str, dimensions: int) -> tuple[DataFrame, list[
     features = [r.feature for r in vectors.select("feature").distinct().orderBy("feature").collect()]
     place = F.broadcast(spark.createDataFrame(list(enumerate(features)), "at int, feature string"))
     rows = vectors.join(place, "feature").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("x"))
-    rows = rows.select(F.col("x.at").alias("at"), F.col("x.value").alias("value")).coalesce(TASKS).persist()
+    rows = rows.select(F.col("x.at").alias("at"), F.col("x.value").alias("value")).persist()
     size, kept = len(features), max(1, min(dimensions, len(features) - 1))
     # subspace iteration: every pass multiplies by X'X, summed up within each task
     base = np.linalg.qr(np.random.default_rng(0).normal(size=(size, min(size, kept + OVERSAMPLE))))[0]

@@ -78,3 +78,21 @@ def profile_route(split: DataFrame, playlists: DataFrame, songs: DataFrame, pop:
     rows = lists.select("case_idx", F.col("class").alias("p_class")).join(best, "p_class").join(seen, ["case_idx", "song_id"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("case_idx").orderBy("at"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= top).select("case_idx", "song_id", "semantic", "rank")
+
+
+def text_route(split: DataFrame, terms: DataFrame, index: DataFrame, pop: DataFrame, top: int = 500) -> DataFrame:
+    """case_idx, song_id, score, rank: what `direct_scores` finds for each case, the best `top`, by popularity and id
+    where scores are equal. Scores are made for each distinct set of terms, of which there are few, and only as
+    many songs of a set go on as a case can need."""
+    seen = split.where("observed").select("case_idx", "song_id")
+    need = top + (seen.groupBy("case_idx").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0)
+    sets = terms.groupBy("case_idx").agg(F.array_sort(F.collect_set("term")).alias("terms")).withColumn("class", F.to_json("terms"))
+    words = F.filter(F.split(normalize_text(F.col("term")), " "), lambda t: F.length(t) >= 3)
+    parts = sets.dropDuplicates(["class"]).select("class", F.explode("terms").alias("term")).select("class", words.alias("w")).where("size(w) > 0")
+    parts = parts.select("class", F.explode("w").alias("token"), (F.when(F.size("w") > 1, 2.0).otherwise(1.0) / F.size("w")).alias("weight"))
+    found = parts.groupBy("class", "token").agg(F.sum("weight").alias("weight")).join(index, "token").groupBy("class", "song_id").agg(F.sum("weight").alias("score"))
+    order = Window.partitionBy("class").orderBy(F.round("score", DIGITS).desc(), F.coalesce("pop", F.lit(0)).desc(), "song_id")
+    best = found.join(pop.select("song_id", "pop"), "song_id", "left").withColumn("at", F.row_number().over(order)).where(F.col("at") <= need)
+    rows = sets.select("case_idx", "class").join(best, "class").join(seen, ["case_idx", "song_id"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy("case_idx").orderBy("at"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= top).select("case_idx", "song_id", "score", "rank")

@@ -186,12 +186,12 @@ def profile_route_topk(m: Base) -> DataFrame:
 
 def _routes(m: Base) -> dict[str, tuple[DataFrame, DataFrame]]:
     """Pool and score in the CF slot, by Stage-1 route."""
-    text = _cut(profiles.direct_scores(profiles.semantic_terms(m.list_profiles), profiles.token_index(m.worded), m.split))
+    text = _cut(semantic.text_route(m.split, profiles.semantic_terms(m.list_profiles), profiles.token_index(m.worded), m.pop))
     by_profile = _cut(semantic.profile_route(m.split, m.list_profiles, m.song_profiles, m.pop))
     ordered = by_profile.select("case_idx", "song_id", "rank")
     return {
         "CF": (m.base, m.cf),
-        "Direct text": (cand.merge([cand.ordered(text, m.pop, "score"), m.unseen], 0, 500), text.withColumnRenamed("score", "cf")),
+        "Direct text": (cand.merge([text, m.unseen], 0, 500), text.withColumnRenamed("score", "cf")),
         "Profile": (cand.merge([ordered, m.unseen], 0, 500), None),
     }
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cadenza.operators import candidates as cand
 from cadenza.functions import vocabulary as v
 from cadenza.functions.text import cache_key, excerpt
-from cadenza.operators import adapter, catalog, cf, content, coverage, diversity, emotion, knowledge, metrics, profiles, scoring, split
+from cadenza.operators import adapter, catalog, cf, content, coverage, diversity, emotion, knowledge, metrics, profiles, scoring, semantic, split
 from cadenza.plans import views
 
 #: Weightings of the ablation, in the order that ties are broken in.
@@ -452,8 +452,8 @@ def direct_text_scores(m: Model) -> DataFrame:
 @query
 def semantic_stage1_recall(m: Model) -> DataFrame:
     """Recall of pools of 500 by collaborative filtering and by the text of the playlist's profile."""
-    text = profiles.direct_scores(profiles.semantic_terms(m.list_profiles), profiles.token_index(m.worded), m.split)
-    by_text = cand.merge([cand.ordered(text, m.pop, "score"), m.unseen], 0, 500)
+    text = semantic.text_route(m.split, profiles.semantic_terms(m.list_profiles), profiles.token_index(m.worded), m.pop)
+    by_text = cand.merge([text, m.unseen], 0, 500)
     both = m.base.withColumn("method", F.lit("CF")).unionByName(by_text.withColumn("method", F.lit("Text")))
     return cand.recall_of(both, m.split, ("method",))
 
