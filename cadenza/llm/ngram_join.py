@@ -245,8 +245,8 @@ def merge(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def search(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links (i, j) that connect exactly the sets which any chain of links connects: 100 t percent of
-    overlap, by T-occurrence search with DivideSkip."""
+    """Pairs (i, j) that connect exactly the sets which any chain of links connects: 100 t percent of
+    overlap, by T-occurrence search with DivideSkip. i is the first set of a group, j each other one."""
     index = Index(sets)
     sizes, free = index.sizes, index.free
     links: list[tuple[int, int]] = []
@@ -280,7 +280,7 @@ def search(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
                 alive = den * (times + skipped - i) >= num * (n + sizes[found] - times - skipped + i)
                 found, times = found[alive], times[alive]
             linked = found[den * times >= num * (n + sizes[found] - times)].tolist()
-            links += [(x, y) for y in linked]
+            links += [(seed, y) for y in linked]
             queue += linked
             if linked:
                 index.take(linked)
@@ -323,44 +323,42 @@ class Clusters:
         """Links (a, b) among the rows of equal keys."""
         return rows.groupBy(*keys).applyInArrow(self.find, "a long, b long")
 
-    def groups(self, large: DataFrame, links: DataFrame) -> DataFrame:
-        """uid, root, chars, group of the members of large clusters."""
-        own = links.join(large.select(F.col("uid").alias("a")), "a", "left_semi")
-        found = components(own, self.scratch).select(F.col("node").alias("uid"), F.col("root").alias("group"))
-        rows = large.join(found, "uid", "left").withColumn("group", F.coalesce("group", "uid"))
-        return self.scratch.write(rows.select("uid", "root", "chars", "group"))
-
     def links(self) -> DataFrame:
         sized = self.members.groupBy("root").agg(_parts(F.count("*"), F.sum("chars")).alias("parts"))
         dealt = self.members.join(sized, "root").withColumn("mine", _place(F.col("parts")))
         links = self.scratch.write(self.search(dealt.join(grown(self.texts), "uid").select("root", "mine", "uid", "text"), "root", "mine"))
         if sized.where("parts > 1").isEmpty():
             return links
-        large = self.scratch.write(dealt.where("parts > 1").select("uid", "root", "chars"))
-        groups = self.groups(large, links)
+        # a document stands in one block, and there is either the first of its group or linked with that
+        first = links.groupBy(F.col("b").alias("uid")).agg(F.min("a").alias("group"))
+        large = dealt.where("parts > 1").join(grown(first), "uid", "left")
+        groups = self.scratch.write(large.select("uid", "root", "chars", F.coalesce("group", "uid").alias("group")))
         while True:
-            more, whole = self.round(groups)
-            if more.isEmpty():
+            more, hooks, whole = self.round(groups)
+            if hooks.isEmpty():
                 break
             links = links.unionByName(more)
-            groups = self.groups(large, links)
+            groups = self.scratch.write(groups.join(hooks, "group", "left").select("uid", "root", "chars", F.coalesce("parent", "group").alias("group")))
             if whole:
                 break
         return links.unionByName(self.rest(groups))
 
-    def round(self, groups: DataFrame) -> tuple[DataFrame, bool]:
-        """Links between groups of a cluster, by documents that stand for groups of several; and whether those
-        of each cluster were searched together."""
+    def round(self, groups: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+        """Links by documents that stand for groups of several in a cluster of several such; the groups that hook to
+        others by them (group, parent); and whether those of each cluster were searched together. Groups needn't
+        be joined wholly: they are names of connected documents, which `rest` needs as few of as possible."""
         several = groups.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
         one_in = F.ceil(F.col("n") / STAND_FOR)
         chosen = groups.join(several, "group").where((F.col("n") <= STAND_FOR) | (F.pmod(F.xxhash64("uid", F.lit(1)), one_in) == 0) | (F.col("uid") == F.col("group")))
-        sized = chosen.groupBy("root").agg(_parts(F.count("*"), F.sum("chars")).alias("parts"), F.count_distinct("group").alias("groups")).where("groups > 1")
-        most = sized.agg(F.max("parts")).first()[0]
-        rows = chosen.join(sized, "root").withColumn("mine", _place(F.col("parts"))).join(self.texts, "uid")
-        links = self.search(rows.select("root", "mine", "uid", "text"), "root", "mine")
-        group_of = lambda c: groups.select(F.col("uid").alias(c), F.col("group").alias(f"group_{c}"))
-        fresh = links.join(group_of("a"), "a").join(group_of("b"), "b").where("group_a != group_b").select("a", "b")
-        return self.scratch.write(fresh), (most or 1) == 1
+        sized = chosen.groupBy("root").agg(_parts(F.count("*"), F.sum("chars")).alias("parts"), F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
+        chosen = self.scratch.write(chosen.join(sized, "root").select("uid", "root", "group", "parts", _place(F.col("parts")).alias("mine")))
+        most = chosen.agg(F.max("parts")).first()[0] or 1
+        rows = chosen.join(grown(self.texts), "uid")
+        links = self.scratch.write(self.search(rows.select("root", "mine", "uid", "text"), "root", "mine"))
+        group_of = lambda c: chosen.select(F.col("uid").alias(c), F.col("group").alias(f"group_{c}"))
+        between = links.join(group_of("a"), "a").join(group_of("b"), "b").where("group_a != group_b")
+        hooks = between.groupBy(F.greatest("group_a", "group_b").alias("group")).agg(F.min(F.least("group_a", "group_b")).alias("parent"))
+        return links, self.scratch.write(hooks), most == 1
 
     def rest(self, groups: DataFrame) -> DataFrame:
         """Links between groups that may be left: of documents with a prefix shingle that several groups hold."""
