@@ -8,8 +8,8 @@ while blocks of text that reach the threshold stand beside it.
 
 Names only weigh. Text of a block whose class or id names a menu, an advert, a notice, comments and so on
 counts as link text, so it has no density and is left out of the chosen subtree; but not if the block holds
-most of the page's text (unless it has no paragraphs while others stand outside; of reader comments, unless
-there is other text at all). `article` and `main` have no say at all.
+most of the page's text: four fifths where other paragraphs stand outside (of reader comments, 20 times as much
+as there is other text). `article` and `main` have no say at all.
 Elements that are never article (nav, header outside of an article, footer, aside, controls, hidden ones)
 aren't text; a form is one unless it holds most of the text. Scripts, styles and markup go.
 
@@ -344,8 +344,8 @@ def weigh(nodes: list[Node]) -> None:
         elif n.why == "comments":
             dead = not most or 20 * rest >= n.plain
         else:
-            # a block without paragraphs isn't the article where paragraphs stand outside
-            dead = n.why == "other" and (not most or not n.texts and texts > 0)
+            # it isn't the article where paragraphs stand outside and it has none, or less than four times their text
+            dead = n.why == "other" and (not most or texts > 0 and (not n.texts or 4 * rest >= n.plain))
         n.dead = dead or n.parent is not None and n.parent.dead
     gather(nodes)
 
@@ -400,10 +400,8 @@ def article(nodes: list[Node]) -> tuple[Node, set[int]]:
         if n.total > best.total and not n.dead:
             best = n
     low = math.inf  # the body-path threshold
-    path = {id(best)}
     n = best
     while n is not None:
-        path.add(id(n))
         low = min(low, per_tag(n))
         n = n.parent
 
@@ -419,7 +417,7 @@ def article(nodes: list[Node]) -> tuple[Node, set[int]]:
 
     # up, while text stands beside
     company, top, left_out = Company(best, low), best, set()
-    at, dropped = best, set()
+    at, dropped, path_up = best, set(), {best}
     while at.parent is not None:
         p = at.parent
         beside_it = [k for k in p.kids if k is not at]
@@ -431,6 +429,9 @@ def article(nodes: list[Node]) -> tuple[Node, set[int]]:
             left_out |= dropped
             dropped = set()
         at = p
+        path_up.add(p)
+    if top is body:  # nothing wraps the article: lists of links beside its paragraphs are menus
+        left_out |= {id(k) for k in body.kids if k not in path_up and k.name != "p" and 2 * k.link_chars > k.chars}
     return top, left_out
 
 

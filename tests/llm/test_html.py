@@ -90,6 +90,8 @@ def test_without_densities_the_articles_are_lost(monkeypatch):
         ("<div>A text in lines,<br>not in paragraphs, as long as this,<br>or longer.</div><div><a href=x>home</a></div>", "A text in lines, not in paragraphs, as long as this, or longer."),
         ("<p>a</p><p style='color:red;display: none'>no</p>", "a"),
         ("<p>a <a class='share' href=x>word</a> b <span class='ad'>no</span></p>", "a word b"),
+        ("<div class=notice><p>We use cookies, as all do, and say so at length.</p><p>Yes.</p></div><div><h1>T</h1><p>The article, not so long as that.</p></div>", "T\n\nThe article, not so long as that."),
+        ("<h1>T</h1><p>Text of the page.</p><ul><li><a href=a>menu</a><li><a href=b>more</a></ul>", "T\n\nText of the page."),
         ("&#99999999999999; &#" + "9" * 5000 + "; &#" + "0" * 5000 + "65; &#xD800;", "� � A �"),
     ],
 )
