@@ -31,6 +31,27 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE + "+"), "")
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the documents: not to be broadcast, however small it is here."""
+    return df.hint("merge")
+
+
+#: Keys that are taken out of a join at most, and rows of a key up to which it stays.
+HUBS, HUB_ROWS = 1 << 16, 1024
+
+
+def join_keys(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """`rows` (in all `total`) with the columns of `keyed`, which has one row for each key and in `n` how many
+    rows have the key. Keys that more than a HUBS-th of all rows have, so no more than HUBS of them, are broadcast;
+    the others are shuffled, and none fills a task."""
+    limit = max(HUB_ROWS, total // HUBS)
+    columns = [c for c in keyed.columns if c not in (key, "n")]
+    hubs = keyed.where(F.col("n") > limit).select(key, *columns, F.lit(True).alias("__hub"))
+    known = rows.join(F.broadcast(hubs), key, "left")
+    rest = known.where("__hub is null").select(*rows.columns).join(grown(keyed.where(F.col("n") <= limit).select(key, *columns)), key)
+    return rest.unionByName(known.where("__hub").select(*rest.columns))
+
+
 def computed(df: DataFrame) -> DataFrame:
     """The same rows, behind a step that filters aren't pushed through. Spark would compute what a filter
     reads a second time below, and there put whole arrays in the place of columns that a function of their

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import Scratch, text_batches, text_of
+from cadenza.llm.common import Scratch, grown, join_keys, text_batches, text_of
 from cadenza.llm.components import components
 
 #: Shingles whose hash is below this lead the order, by frequency.
@@ -298,11 +298,6 @@ def _cluster(words: int, num: int, den: int):
     return run
 
 
-def grown(df: DataFrame) -> DataFrame:
-    """A side of a join that grows with the documents: not to be broadcast, however small it is here."""
-    return df.hint("merge")
-
-
 def _parts(docs, chars):
     """Blocks for so many documents and characters."""
     return F.ceil(F.greatest(docs / BLOCK, chars / BLOCK_CHARS)).cast("int")
@@ -405,8 +400,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     in_prefix = ~leads | (F.col("alone") + F.col("rank") <= length)
     prefix = scratch.write(shared.where(in_prefix).select("uid", "shingle"))
     scratch.drop(wide)
-    least = prefix.groupBy("shingle").agg(F.min("uid").alias("b"))
-    clusters = scratch.write(components(prefix.join(grown(least), "shingle").select(F.col("uid").alias("a"), "b").distinct(), scratch))
+    least = prefix.groupBy("shingle").agg(F.min("uid").alias("b"), F.count("*").alias("n"))
+    pairs = join_keys(prefix, least, "shingle", prefix.count()).where("uid != b").select(F.col("uid").alias("a"), "b").distinct()
+    clusters = scratch.write(components(pairs, scratch))
     # every clustered document, once, with its text
     members = scratch.write(clusters.join(sets.select(F.col("uid").alias("node"), "doc_id", "textid", "chars"), "node").select(F.col("node").alias("uid"), "root", "chars", "doc_id", "textid"))
     ours = members.select("uid", F.col("doc_id").alias("m_doc"), F.col("textid").alias("m_text"))

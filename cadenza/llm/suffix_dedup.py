@@ -13,8 +13,8 @@ equal strings together without sorting the corpus as a whole:
    the buckets; the common prefixes of neighbours then tell which windows occur twice.
 
 Segments are compared by 64-bit hashes of anchor and content; both would have to collide. The counts are
-aggregates (combined before they are shuffled), and joins whose keys Spark can split; anchors with more than
-DEALT differing segments are sorted as pairs of blocks.
+aggregates (combined before they are shuffled), and the join with them leaves out anchors that very many
+segments have, which are broadcast; anchors with more than DEALT differing segments are sorted as pairs of blocks.
 
 Defined results: null text is the empty text; texts shorter than LENGTH lose nothing; overlapping
 occurrences count, in the same document too; strings are judged on the input; repeated rows repeat each
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import Scratch, text_batches, text_of
+from cadenza.llm.common import Scratch, join_keys, text_batches, text_of
 
 LENGTH = 200
 GRAM = 50
@@ -326,9 +326,8 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
         anchors.groupBy("anchor")
         .agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("differs"))
         .where("n > 1")
-        .select("anchor", "differs")
     )
-    hits = scratch.write(anchors.select("anchor", "content", "uid", "place").join(again, "anchor"))
+    hits = scratch.write(join_keys(anchors.select("anchor", "content", "uid", "place"), again, "anchor", anchors.count()))
     scratch.drop(anchors)
     # classes of equal segments around the anchors where segments differ
     classes = scratch.write(hits.where("differs").groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("uid", "place")).alias("rep")))
