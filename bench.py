@@ -1,4 +1,4 @@
-"""Time the headline queries; prints one JSON line."""
+"""Time the headline queries, and two of them over every playlist; prints one JSON line."""
 
 from __future__ import annotations
 
@@ -24,6 +24,8 @@ HEADLINE = (
     "rank_fused_top10",
     "metrics_by_variant",
 )
+#: Also timed, but not part of the sum: without the cap of 1000 cases.
+UNCAPPED = ("cf_scores_topk_whole", "metrics_by_variant_whole")
 
 
 def main() -> None:
@@ -32,14 +34,14 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     QUERIES["coverage_summary"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # start-up isn't counted
     times = {}
-    for name in HEADLINE:
+    for name in (*HEADLINE, *UNCAPPED):
         spark.catalog.clearCache()  # nothing is kept from one query to the next
         began = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - began, 3)
     spark.stop()
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
-    print(json.dumps({"metric": "headline queries, wall clock", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf}))
+    print(json.dumps({"metric": "headline queries, wall clock", "value": round(sum(times[n] for n in HEADLINE), 3), "unit": "sec", "queries": times, "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf}))
 
 
 if __name__ == "__main__":
