@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Names of features, and the sets of the ablation.
 BASE = ("cf", "artist", "popularity", "lemon", "kar")
 PRODUCTS = ("cf_artist", "cf_popularity", "cf_lemon", "cf_kar", "artist_kar", "popularity_kar", "lemon_kar")
 SCALARS = (*BASE, *PRODUCTS)
@@ -162,6 +163,8 @@ def train(
     the cross entropy of the labels, positives weighted by negatives over positives ("bce")."""
     if loss not in ("pairwise", "bce"):
         raise ValueError(f"no such loss: {loss}")
+    if not names or not set(names) <= set(FEATURES):
+        raise ValueError(f"no features, or unknown ones: {names}")
     at = [FEATURES.index(n) for n in names]
     data = sample if isinstance(sample, Spill) else spilled(sample, loss)
     one, other = data.arrays

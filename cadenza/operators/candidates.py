@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cadenza.operators.cf import DIGITS
 from cadenza.operators.split import numbered, recent
 
+# Pool sizes and shares of the same artist.
 POOLS = (100, 200, 300, 400, 500)
 RATIOS = (0.25, 0.5, 0.75, 1.0)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.text import length_bin, percent_text
 
+# The steps and filters that results are counted by.
 MATCHED_STEPS = (1, 5, 10, 20, 30, 50, 100)
 COVERAGE_STEPS = (0.1, 0.2, 0.3, 0.5, 0.7, 0.9, 1.0)
 #: The filters on (matched, percent): both, songs, percent.

@@ -17,10 +17,15 @@ from cadenza.operators.content import profile_bits
 from cadenza.operators.split import recent
 
 
+# The sentences of the texts.
+ITEM = "item factual knowledge. title %s. artist %s. semantic tags %s. lyric evidence %s"
+PLAYLIST = "preference reasoning knowledge. recent observed songs %s. frequent artists %s. long term semantic preferences %s. short term semantic intent %s."
+
+
 def item_texts(songs: DataFrame, profiles: DataFrame, chars: int = 260) -> DataFrame:
     terms = profiles.select("song_id", F.array_join(profile_bits(first_value=False), " ").alias("terms"))
     text = F.format_string(
-        "item factual knowledge. title %s. artist %s. semantic tags %s. lyric evidence %s", F.col("title"), F.col("artist"), F.coalesce("terms", F.lit("")), F.substring(squeeze(F.col("lyrics")), 1, chars)
+        ITEM, F.col("title"), F.col("artist"), F.coalesce("terms", F.lit("")), F.substring(squeeze(F.col("lyrics")), 1, chars)
     )
     return songs.join(terms, "song_id", "left").select("song_id", text.alias("text"))
 
@@ -46,7 +51,7 @@ def playlist_texts(split: DataFrame, songs: DataFrame, profiles: DataFrame, wind
         .join(_most(late.join(labels, "song_id"), "term", 12, "recent_terms"), "case_idx", "left")
     )
     text = F.format_string(
-        "preference reasoning knowledge. recent observed songs %s. frequent artists %s. long term semantic preferences %s. short term semantic intent %s.",
+        PLAYLIST,
         *(F.coalesce(c, F.lit("")) for c in ("names", "artists", "terms", "recent_terms")),
     )
     return parts.select("case_idx", text.alias("text"))

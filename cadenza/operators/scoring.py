@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.operators.cf import DIGITS
 
+# The weights of the fusion.
 WEIGHTS = {"cf": 0.35, "artist": 0.10, "pop": 0.10}
 
 

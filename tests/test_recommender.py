@@ -143,6 +143,25 @@ def test_adapter_learns_an_order(spark):
     assert adapter.rank(rows, net, "v").where("rank = 1").count() == 30
 
 
+@pytest.mark.parametrize("names", [(), ("cf", "no such feature")])
+def test_adapter_needs_features(names):
+    with pytest.raises(ValueError):
+        adapter.train(None, {}, names, 1)
+
+
+def test_random_catalog_is_seeded_and_unseen(spark):
+    t = tracks(spark, {p: [f"s{(p * 3 + i) % 40}" for i in range(6)] for p in range(20)})
+    s = split.holdout(t, 1, 2)
+    songs = spark.createDataFrame([(f"s{i}", "a") for i in range(40)], "song_id string, artist string")
+    rows = candidates.random_catalog(s, songs, 5, 10)
+    assert rows.groupBy("case_idx").count().where("count = 10").count() == 20
+    assert rows.join(s.where("observed"), ["case_idx", "song_id"]).count() == 0
+    assert sorted(rows.collect()) == sorted(candidates.random_catalog(s.repartition(7), songs.repartition(5), 5, 10).collect())
+    assert rows.where("rank = 1").select("song_id").distinct().count() > 8
+    everything = candidates.random_catalog(s, songs, 5, 100)
+    assert everything.count() == 20 * 40 - s.where("observed").count()
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "catalog.csv").write_text('Song,ARTIST,text\nOne,A,"line 1\nline ""2"""\n,A,x\nOne (Live),a,other\nTwo,B,words\n')
     rows = readers.read_catalog(spark, str(tmp_path / "catalog.csv"))
