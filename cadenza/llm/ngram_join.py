@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import Scratch, grown, join_keys, text_batches, text_of
+from cadenza.llm.common import LARGE, Scratch, give_back, grown, join_keys, text_batches, text_of, tidy
 from cadenza.llm.components import components
 
 #: Shingles whose hash is below this lead the order, by frequency.
@@ -113,7 +113,7 @@ def _sets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
             )
             uid += n
 
-    return text_batches(docs).mapInArrow(run, "uid long, doc_id long, textid long, n long, lead long, chars long, digest binary, shingles binary")
+    return text_batches(docs).mapInArrow(tidy(run), "uid long, doc_id long, textid long, n long, lead long, chars long, digest binary, shingles binary")
 
 
 def _blocks(bits: int):
@@ -154,7 +154,10 @@ def _counted(bucket: pa.Table) -> pa.Table:
     first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
     held = np.repeat(np.diff(np.r_[first, len(s)]), np.diff(np.r_[first, len(s)]))
     keep = held > 1
-    return pa.table({"uid": who[keep], "shingle": s[keep].view("<i8"), "held": held[keep].astype(np.int64)})
+    out = pa.table({"uid": who[keep], "shingle": s[keep].view("<i8"), "held": held[keep].astype(np.int64)})
+    del s, who, at, first, held, keep
+    give_back()
+    return out
 
 
 def shared_shingles(sets: DataFrame, total: int) -> DataFrame:
@@ -164,7 +167,7 @@ def shared_shingles(sets: DataFrame, total: int) -> DataFrame:
     four times that, as very frequent shingles fall there: those are counted by rows. It decides on the way only."""
     bits = max(6, (total // BUCKET).bit_length())
     schema = "bucket int, shingles binary, uids binary"
-    blocks = sets.mapInArrow(_blocks(bits), schema)
+    blocks = sets.mapInArrow(tidy(_blocks(bits)), schema)
     size = F.octet_length("shingles") / 8
     sampled = sets.where(F.pmod(F.xxhash64("uid"), F.lit(16)) == 0).mapInArrow(_blocks(bits), schema)
     full = [r.bucket for r in sampled.groupBy("bucket").agg(F.sum(size).alias("n")).where(F.col("n") * 16 > 4 * BUCKET).select("bucket").collect()]
@@ -293,6 +296,8 @@ def _cluster(words: int, num: int, den: int):
         texts = dict(zip(cluster["uid"].to_pylist(), cluster["text"], strict=True))  # equal rows of the table count once
         uids = list(texts)
         links = search([shingle(t.as_py()) for t in texts.values()], num, den)
+        if cluster.nbytes > LARGE:
+            give_back()
         return pa.table({"a": pa.array([uids[i] for i, _ in links], pa.int64()), "b": pa.array([uids[j] for _, j in links], pa.int64())})
 
     return run

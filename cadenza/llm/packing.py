@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cadenza.llm.common import Scratch, text_batches, text_of
+from cadenza.llm.common import Scratch, text_batches, text_of, tidy
 from cadenza.llm.token_counts import byte_letters
 
 CAPACITY = 2048
@@ -151,9 +151,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
                     yield leaf()
         if rows:
             yield leaf()
+        rows = []
+        encoder.cache_clear()  # the vocabulary takes more memory than its reading takes time
 
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return text_batches(text).mapInArrow(run, schema)
+    return text_batches(text).mapInArrow(tidy(run), schema)
 
 
 def _node(capacity: int):

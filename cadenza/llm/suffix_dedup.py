@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import Scratch, join_keys, text_batches, text_of
+from cadenza.llm.common import LARGE, Scratch, give_back, join_keys, text_batches, text_of, tidy
 
 LENGTH = 200
 GRAM = 50
@@ -284,6 +284,8 @@ def _settle(length: int):
             size += own
         if rows:
             sort(rows)
+        if block.nbytes > LARGE:
+            give_back()
         u, a, b = zip(*spans, strict=True) if spans else ((), (), ())
         return pa.table({"uid": pa.array(u, pa.int64()), "start": pa.array(a, pa.int64()), "end": pa.array(b, pa.int64())})
 
@@ -320,7 +322,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
         raise ValueError("windows take more than a gram, and at most 900 bytes more")
     scratch = Scratch(spark, "suffix-dedup")
     schema = "anchor long, content long, uid long, place long, doc_id long, textid long"
-    anchors = scratch.write(text_batches(docs).select("doc_id", "textid", "text").mapInArrow(_anchors(length, gram), schema))
+    anchors = scratch.write(text_batches(docs).select("doc_id", "textid", "text").mapInArrow(tidy(_anchors(length, gram)), schema))
     names = scratch.write(anchors.where("textid is not null").select("uid", "doc_id", "textid"))
     again = (
         anchors.groupBy("anchor")
@@ -343,7 +345,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
     # equal rows of the table give their segments once
     by_text = by_doc.groupBy("doc_id", "textid").agg(F.flatten(F.collect_list("reps")).alias("reps"))
     same = F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.textid") == F.col("r.textid"))
-    raw = docs.alias("d").join(by_text.alias("r"), same).select("d.text", "r.reps").mapInArrow(_cut(length), "uid long, anchor long, start long, raw binary, open boolean")
+    raw = docs.alias("d").join(by_text.alias("r"), same).select("d.text", "r.reps").mapInArrow(tidy(_cut(length)), "uid long, anchor long, start long, raw binary, open boolean")
     raw = raw.join(of_anchor.select("anchor", "segments"), "anchor")
     total = (classes.agg(F.count("*")).first()[0] or 0) * (length + length // 2)
     blocks = max(1, -(-total // BLOCK))
