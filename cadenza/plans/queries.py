@@ -59,7 +59,7 @@ class Model:
     """The stages of the recommender over one set of tables, each defined once. What many stages of one query
     read again is checkpointed."""
 
-    #: The cases of the queries that have SQL, which says LIMIT 1000 (recommandation.py has the same default).
+    #: The cases of the queries that have SQL, which says LIMIT 1000; the same operators run without it as `_whole`.
     cap: int | None = 1000
 
     def __init__(self, spark: SparkSession, sf_dir: str):
