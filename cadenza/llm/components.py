@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import Scratch, join_keys
+from cadenza.llm.common import Scratch, grown, join_keys
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -26,7 +26,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         large = large.where("a != b").distinct()
         # now every node's smaller neighbours are hooked to the least of those
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(grown(low), "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return small.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
 
     def state(e: DataFrame):

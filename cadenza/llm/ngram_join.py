@@ -176,7 +176,7 @@ def shared_shingles(sets: DataFrame, total: int) -> DataFrame:
     rest = blocks.where(~F.col("bucket").isin(full)).groupBy("bucket").applyInArrow(_counted, "uid long, shingle long, held long")
     rows = blocks.where(F.col("bucket").isin(full)).mapInArrow(_rows, "uid long, shingle long")
     counts = rows.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
-    return rest.unionByName(rows.join(counts, "shingle").select("uid", "shingle", "held"))
+    return rest.unionByName(rows.join(grown(counts), "shingle").select("uid", "shingle", "held"))
 
 
 class Index:
@@ -325,7 +325,7 @@ class Clusters:
 
     def links(self) -> DataFrame:
         sized = self.members.groupBy("root").agg(_parts(F.count("*"), F.sum("chars")).alias("parts"))
-        dealt = self.members.join(sized, "root").withColumn("mine", _place(F.col("parts")))
+        dealt = self.members.join(grown(sized), "root").withColumn("mine", _place(F.col("parts")))
         links = self.scratch.write(self.search(dealt.join(grown(self.texts), "uid").select("root", "mine", "uid", "text"), "root", "mine"))
         if sized.where("parts > 1").isEmpty():
             return links
@@ -338,7 +338,7 @@ class Clusters:
             if hooks.isEmpty():
                 break
             links = links.unionByName(more)
-            groups = self.scratch.write(groups.join(hooks, "group", "left").select("uid", "root", "chars", F.coalesce("parent", "group").alias("group")))
+            groups = self.scratch.write(groups.join(grown(hooks), "group", "left").select("uid", "root", "chars", F.coalesce("parent", "group").alias("group")))
             if whole:
                 break
         return links.unionByName(self.rest(groups))
@@ -349,34 +349,35 @@ class Clusters:
         be joined wholly: they are names of connected documents, which `rest` needs as few of as possible."""
         several = groups.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
         one_in = F.ceil(F.col("n") / STAND_FOR)
-        chosen = groups.join(several, "group").where((F.col("n") <= STAND_FOR) | (F.pmod(F.xxhash64("uid", F.lit(1)), one_in) == 0) | (F.col("uid") == F.col("group")))
+        chosen = groups.join(grown(several), "group").where((F.col("n") <= STAND_FOR) | (F.pmod(F.xxhash64("uid", F.lit(1)), one_in) == 0) | (F.col("uid") == F.col("group")))
         sized = chosen.groupBy("root").agg(_parts(F.count("*"), F.sum("chars")).alias("parts"), F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
-        chosen = self.scratch.write(chosen.join(sized, "root").select("uid", "root", "group", "parts", _place(F.col("parts")).alias("mine")))
+        chosen = self.scratch.write(chosen.join(grown(sized), "root").select("uid", "root", "group", "parts", _place(F.col("parts")).alias("mine")))
         most = chosen.agg(F.max("parts")).first()[0] or 1
         rows = chosen.join(grown(self.texts), "uid")
         links = self.scratch.write(self.search(rows.select("root", "mine", "uid", "text"), "root", "mine"))
-        group_of = lambda c: chosen.select(F.col("uid").alias(c), F.col("group").alias(f"group_{c}"))
+        group_of = lambda c: grown(chosen.select(F.col("uid").alias(c), F.col("group").alias(f"group_{c}")))
         between = links.join(group_of("a"), "a").join(group_of("b"), "b").where("group_a != group_b")
         hooks = between.groupBy(F.greatest("group_a", "group_b").alias("group")).agg(F.min(F.least("group_a", "group_b")).alias("parent"))
         return links, self.scratch.write(hooks), most == 1
 
     def rest(self, groups: DataFrame) -> DataFrame:
         """Links between groups that may be left: of documents with a prefix shingle that several groups hold."""
-        held = self.prefix.join(groups.select("uid", "group"), "uid")
+        held = self.prefix.join(grown(groups.select("uid", "group")), "uid")
         by_several = held.groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
-        open_ = self.scratch.write(groups.join(held.join(by_several.select("shingle"), "shingle", "left_semi").select("uid").distinct(), "uid", "left_semi"))
+        open_ = self.scratch.write(groups.join(grown(held.join(grown(by_several.select("shingle")), "shingle", "left_semi").select("uid").distinct()), "uid", "left_semi"))
         sizes = open_.groupBy("root", "group").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
         largest = sizes.groupBy("root").agg(
             F.max_by("group", F.struct("n", "group")).alias("largest"), F.max(F.struct("n", "group", "chars")).alias("l"), F.sum("n").alias("n"), F.sum("chars").alias("chars")
         )
         plan = largest.select("root", "largest", _parts(F.col("l.n"), F.col("l.chars")).alias("m"), F.greatest(F.lit(1), _parts(F.col("n") - F.col("l.n"), F.col("chars") - F.col("l.chars"))).alias("k"))
         inside = F.col("group") == F.col("largest")
-        rows = open_.join(plan, "root").withColumn("mine", F.when(inside, _place(F.col("m"))).otherwise(F.col("m") + _place(F.col("k"))))
+        rows = open_.join(grown(plan), "root").withColumn("mine", F.when(inside, _place(F.col("m"))).otherwise(F.col("m") + _place(F.col("k"))))
         every = F.sequence(F.lit(0), F.col("m") + F.col("k") - 1)
         # two blocks of the largest group hold nothing that could link anew
         others = F.filter(every, lambda x: ~inside | (x >= F.col("m")))
         pairs = F.transform(others, lambda x: F.struct(F.least(x, F.col("mine")).alias("i"), F.greatest(x, F.col("mine")).alias("j")))
-        rows = rows.select("uid", "root", F.explode(pairs).alias("p")).select("uid", "root", "p.i", "p.j").join(self.texts, "uid")
+        # Spark takes exploded rows for no more than those they come from
+        rows = rows.select("uid", "root", F.explode(pairs).alias("p")).select("uid", "root", "p.i", "p.j").join(grown(self.texts), "uid")
         return self.scratch.write(self.search(rows.select("root", "i", "j", "uid", "text"), "root", "i", "j"))
 
 
@@ -409,14 +410,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     pairs = join_keys(prefix, least, "shingle", prefix.count()).where("uid != b").select(F.col("uid").alias("a"), "b").distinct()
     clusters = scratch.write(components(pairs, scratch))
     # every clustered document, once, with its text
-    members = scratch.write(clusters.join(sets.select(F.col("uid").alias("node"), "doc_id", "textid", "chars"), "node").select(F.col("node").alias("uid"), "root", "chars", "doc_id", "textid"))
+    members = scratch.write(clusters.join(grown(sets.select(F.col("uid").alias("node"), "doc_id", "textid", "chars")), "node").select(F.col("node").alias("uid"), "root", "chars", "doc_id", "textid"))
     ours = members.select("uid", F.col("doc_id").alias("m_doc"), F.col("textid").alias("m_text"))
     texts = scratch.write(src.join(grown(ours), F.col("doc_id").eqNullSafe(F.col("m_doc")) & (F.col("textid") == F.col("m_text"))).select("uid", "text"))
     links = Clusters(scratch, members.select("uid", "root", "chars"), texts, prefix, words, num, den).links()
     groups = components(links, scratch)
-    named = classes.select("digest", "class", "least").join(groups.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    named = classes.select("digest", "class", "least").join(grown(groups.select(F.col("node").alias("class"), "root")), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = named.groupBy("root").agg(F.min("least").alias("least"))
-    named = named.select("digest", "root").join(least, "root").select("digest", F.col("least"))
+    named = named.select("digest", "root").join(grown(least), "root").select("digest", F.col("least"))
     out = sets.select("uid", "doc_id", "textid", F.col("n").alias("n_shingles"), "digest").join(grown(named), "digest", "left")
     alone = F.col("least").isNull()
     return out.select(

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import mixing, ngram_join, packing, quality_rules, suffix_dedup
-from cadenza.llm.common import Scratch, collected_scratch, delete_folders, table, text_of
+from cadenza.llm.common import Scratch, collected_scratch, delete_folders, grown, table, text_of
 from cadenza.llm.queries import TOKENIZER
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -68,7 +68,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     leaders = linked.where("leader").groupBy("doc_id", "textid").agg(F.max(F.col("n_shingles") == 0).alias("__empty"))
     leaders = leaders.select(F.col("doc_id").alias("__doc"), F.col("textid").alias(_KEY), "__empty")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(text_of()) == F.col(_KEY))
-    kept = docs.join(leaders, same).select(*docs.columns, "__doc", _KEY, "__empty")
+    kept = docs.join(grown(leaders), same).select(*docs.columns, "__doc", _KEY, "__empty")
     # equal rows are one group; texts without words are linked with nothing
     one = kept.where("not __empty").dropDuplicates(["__doc", _KEY])
     return kept.where("__empty").unionByName(one).select(*docs.columns)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.llm import ngram_join
-from cadenza.llm.common import Scratch
+from cadenza.llm.common import HUB_ROWS, Scratch
 from cadenza.llm.components import components
 from cadenza.llm.queries import op6_ngram_join
 
@@ -158,3 +158,22 @@ def test_long_text_and_large_family(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = ngram_join.near_duplicates(docs, 4, 85, 100)
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows, 4, 85, 100)
+
+
+def test_joins_that_grow_are_not_broadcast(spark, monkeypatch):
+    """Spark takes rows that were exploded to pairs of blocks for few, and sent all of them to the driver."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 24)
+    plans = []
+    write = Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(self, df))
+    rng = random.Random(4)
+    tail = " ".join(f"s{i}" for i in range(12))
+    rows = [(i, " ".join(f"u{i}x{j}" for j in range(30)) + " " + tail) for i in range(120)] + [(500 + i, t + " " + tail) for i, t in enumerate(family(rng, 40, 60, 3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = ngram_join.near_duplicates(docs, 4, 85, 100)
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows, 4, 85, 100)
+    # the only broadcasts are those of frequent keys, which HUBS bounds
+    for lines in map(str.splitlines, plans):
+        assert [x for i, x in enumerate(lines) if "BroadcastExchange" in x and f"> {HUB_ROWS})" not in "".join(lines[i : i + 4])] == []
+    assert any("explode" in p and "FlatMapGroupsInArrow" in p for p in plans)
