@@ -15,8 +15,9 @@
    no link between different groups is missed.
 5. Clusters of more than a block: rounds of searches among a few documents of each group join the groups that
    different blocks found of one family. Only documents with a prefix shingle that several groups hold can
-   still link; they are searched as pairs of blocks, but those of a cluster's largest group not among
-   themselves. So a family of any size takes work in proportion to its documents.
+   still link; they are searched by such shingles, those of one least holder together. Where these take more
+   than a block, they are searched as pairs of blocks, but those of the largest group not among themselves.
+   So a family of any size takes work in proportion to its documents.
 6. Links are joined into components.
 
 Defined results: null or empty text, and text of white space only, has an empty set and links with nothing;
@@ -361,24 +362,39 @@ class Clusters:
         return links, self.scratch.write(hooks), most == 1
 
     def rest(self, groups: DataFrame) -> DataFrame:
-        """Links between groups that may be left: of documents with a prefix shingle that several groups hold."""
-        held = self.prefix.join(grown(groups.select("uid", "group")), "uid")
-        by_several = held.groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
-        open_ = self.scratch.write(groups.join(grown(held.join(grown(by_several.select("shingle")), "shingle", "left_semi").select("uid").distinct()), "uid", "left_semi"))
-        sizes = open_.groupBy("root", "group").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
-        largest = sizes.groupBy("root").agg(
+        """Links between groups that may be left: among documents with a prefix shingle that several groups hold.
+        Those with any such shingle of one least holder are a family. A document goes once to each of its families,
+        of which small ones share blocks; one of more than a block is searched as pairs of blocks."""
+        held = self.prefix.join(grown(groups.select("uid", "group", "chars")), "uid")
+        spread = F.min("group") < F.max("group")
+        by_several = held.groupBy("shingle").agg(F.min("uid").alias("family"), F.count("*").alias("n"), spread.alias("several")).where("several").drop("several")
+        families = self.scratch.write(join_keys(held, by_several, "shingle", self.prefix.count()).select("uid", "group", "chars", "family").distinct())
+        sizes = families.groupBy("family", "group").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+        largest = sizes.groupBy("family").agg(
             F.max_by("group", F.struct("n", "group")).alias("largest"), F.max(F.struct("n", "group", "chars")).alias("l"), F.sum("n").alias("n"), F.sum("chars").alias("chars")
         )
-        plan = largest.select("root", "largest", _parts(F.col("l.n"), F.col("l.chars")).alias("m"), F.greatest(F.lit(1), _parts(F.col("n") - F.col("l.n"), F.col("chars") - F.col("l.chars"))).alias("k"))
+        plan = self.scratch.write(
+            largest.select(
+                "family", "largest", "n", "chars", (_parts(F.col("n"), F.col("chars")) == 1).alias("small"), _parts(F.col("l.n"), F.col("l.chars")).alias("m"),
+                F.greatest(F.lit(1), _parts(F.col("n") - F.col("l.n"), F.col("chars") - F.col("l.chars"))).alias("k"),
+            )
+        )
+        shared = plan.where("small").agg(F.sum("n"), F.sum("chars")).first()
+        # half full on average, as a family isn't divided
+        blocks = max(1, -(-2 * (shared[0] or 0) // BLOCK), -(-2 * (shared[1] or 0) // BLOCK_CHARS))
+        rows = families.join(grown(plan.drop("n", "chars")), "family")
+        block = -1 - F.pmod(F.xxhash64("family"), F.lit(blocks))
+        small = rows.where("small").select("uid", block.alias("family"), F.lit(0).alias("i"), F.lit(0).alias("j")).distinct()
         inside = F.col("group") == F.col("largest")
-        rows = open_.join(grown(plan), "root").withColumn("mine", F.when(inside, _place(F.col("m"))).otherwise(F.col("m") + _place(F.col("k"))))
+        large = rows.where("not small").withColumn("mine", F.when(inside, _place(F.col("m"))).otherwise(F.col("m") + _place(F.col("k"))))
         every = F.sequence(F.lit(0), F.col("m") + F.col("k") - 1)
         # two blocks of the largest group hold nothing that could link anew
         others = F.filter(every, lambda x: ~inside | (x >= F.col("m")))
         pairs = F.transform(others, lambda x: F.struct(F.least(x, F.col("mine")).alias("i"), F.greatest(x, F.col("mine")).alias("j")))
+        large = large.select("uid", "family", F.explode(pairs).alias("p")).select("uid", "family", "p.i", "p.j")
         # Spark takes exploded rows for no more than those they come from
-        rows = rows.select("uid", "root", F.explode(pairs).alias("p")).select("uid", "root", "p.i", "p.j").join(grown(self.texts), "uid")
-        return self.scratch.write(self.search(rows.select("root", "i", "j", "uid", "text"), "root", "i", "j"))
+        rows = small.unionByName(large).join(grown(self.texts), "uid")
+        return self.scratch.write(self.search(rows.select("family", "i", "j", "uid", "text"), "family", "i", "j"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

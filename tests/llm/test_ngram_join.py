@@ -177,3 +177,20 @@ def test_joins_that_grow_are_not_broadcast(spark, monkeypatch):
     for lines in map(str.splitlines, plans):
         assert [x for i, x in enumerate(lines) if "BroadcastExchange" in x and f"> {HUB_ROWS})" not in "".join(lines[i : i + 4])] == []
     assert any("explode" in p and "FlatMapGroupsInArrow" in p for p in plans)
+
+
+def test_unlinked_cluster_takes_work_in_proportion(spark, monkeypatch):
+    """A chain of documents, each with a rare shingle of the next: only those that share one are searched together."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 24)
+    n, searched = 240, []
+    words = {i: " ".join(f"w{i}x{j}" for j in range(30)) for i in range(n)}
+    words[101] = words[100] + " more"
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema).coalesce(2)
+    groups = frame([(i, 0, len(t), i) for i, t in words.items()], "uid long, root long, chars long, group long")
+    texts = frame(list(words.items()), "uid long, text string")
+    prefix = frame([(i, s) for i in range(n) for s in (i, i + 1)], "uid long, shingle long")
+    clusters = ngram_join.Clusters(Scratch(spark, "t"), groups.drop("group"), texts, prefix, 4, 85, 100)
+    search = clusters.search
+    clusters.search = lambda rows, *keys: searched.append(rows.count()) or search(rows, *keys)
+    assert [tuple(r) for r in clusters.rest(groups).distinct().collect()] in ([(100, 101)], [(101, 100)])
+    assert sum(searched) <= 2 * n
